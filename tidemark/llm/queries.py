@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, packing, secrets, sharding, warc
+from tidemark.llm import decontamination, ngram_join, packing, secrets, sharding, warc
 from tidemark.llm.common import new_path
 
 
@@ -22,6 +22,32 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all others: class and number of links."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS k FROM links GROUP BY a)
+SELECT doc_id, class_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links
+FROM documents JOIN least ON least.a = doc_id LEFT JOIN degree ON degree.a = doc_id
+"""
+
+
 def byte_bpe() -> str:
     """The path of the byte-level vocabulary."""
     import public_tokenizers
@@ -133,8 +159,8 @@ SELECT d.doc_id, CAST(coalesce(a, 0) AS BIGINT) AS n_assign, CAST(coalesce(b, 0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op3_packing": op3_packing, "op4_warc": op4_warc, "op5_decontamination": op5_decontamination, "op8_secrets": op8_secrets}
+    return {"op1_sharding": op1_sharding, "op2_ngram_join": op2_ngram_join, "op3_packing": op3_packing, "op4_warc": op4_warc, "op5_decontamination": op5_decontamination, "op8_secrets": op8_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op5_decontamination": OP5_SQL, "op8_secrets": OP8_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op4_warc": OP4_SQL, "op5_decontamination": OP5_SQL, "op8_secrets": OP8_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, ngram_join, packing, secrets, sharding, warc
+from tidemark.llm import decontamination, embeddings, ngram_join, packing, secrets, sharding, warc
 from tidemark.llm.common import new_path
 
 
@@ -158,9 +158,32 @@ SELECT d.doc_id, CAST(coalesce(a, 0) AS BIGINT) AS n_assign, CAST(coalesce(b, 0)
 """
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings against all others."""
+    found = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+OP10_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+  WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(v, v) > 0),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM e x JOIN e y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_dot_product(x.v, y.v) / (x.norm * y.norm) >= 0.95),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS k FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON least.a = vec_id LEFT JOIN degree ON degree.a = vec_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_ngram_join": op2_ngram_join, "op3_packing": op3_packing, "op4_warc": op4_warc, "op5_decontamination": op5_decontamination, "op8_secrets": op8_secrets}
+    return {"op1_sharding": op1_sharding, "op2_ngram_join": op2_ngram_join, "op3_packing": op3_packing, "op4_warc": op4_warc, "op5_decontamination": op5_decontamination, "op8_secrets": op8_secrets, "op10_embeddings": op10_embeddings}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL, "op4_warc": OP4_SQL, "op5_decontamination": OP5_SQL, "op8_secrets": OP8_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op4_warc": OP4_SQL, "op5_decontamination": OP5_SQL, "op8_secrets": OP8_SQL, "op10_embeddings": OP10_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, embeddings, ngram_join, packing, secrets, sharding, warc
+from tidemark.llm import decontamination, embeddings, ngram_join, packing, quality, secrets, sharding, toxicity, warc
 from tidemark.llm.common import new_path
 
 
@@ -122,6 +122,20 @@ FROM dw d LEFT JOIN words_hit h USING (doc_id) LEFT JOIN items t USING (doc_id)
 """
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, scored by trees that saw no held-out label."""
+    docs, out = table(spark, sf_dir, "documents"), quality.held_out(F.col("doc_id"), 3, 1)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), out)
+    return quality.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, scored by trees that saw no held-out label."""
+    docs, out = table(spark, sf_dir, "documents"), quality.held_out(F.col("doc_id"), 4, 2)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), out)
+    return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents through a new ledger."""
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
@@ -182,7 +196,7 @@ FROM embeddings JOIN least ON least.a = vec_id LEFT JOIN degree ON degree.a = ve
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_ngram_join": op2_ngram_join, "op3_packing": op3_packing, "op4_warc": op4_warc, "op5_decontamination": op5_decontamination, "op8_secrets": op8_secrets, "op10_embeddings": op10_embeddings}
+    return {"op1_sharding": op1_sharding, "op2_ngram_join": op2_ngram_join, "op3_packing": op3_packing, "op4_warc": op4_warc, "op5_decontamination": op5_decontamination, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_secrets": op8_secrets, "op10_embeddings": op10_embeddings}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, embeddings, ngram_join, packing, quality, secrets, sharding, toxicity, warc
+from tidemark.llm import chat, decontamination, embeddings, ngram_join, packing, quality, secrets, sharding, toxicity, warc
 from tidemark.llm.common import new_path
 
 
@@ -172,6 +172,17 @@ SELECT d.doc_id, CAST(coalesce(a, 0) AS BIGINT) AS n_assign, CAST(coalesce(b, 0)
 """
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as transcripts, their roles recovered and their turns rendered."""
+    turns = table(spark, sf_dir, "conversations")
+    return chat.recover(turns, chat.train(turns)).select("conv_id", "turn", "role", "rendered")
+
+
+OP9_SQL = """
+SELECT conv_id, turn, role, '<|' || role || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' AS rendered FROM conversations
+"""
+
+
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings against all others."""
     found = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -196,8 +207,8 @@ FROM embeddings JOIN least ON least.a = vec_id LEFT JOIN degree ON degree.a = ve
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_ngram_join": op2_ngram_join, "op3_packing": op3_packing, "op4_warc": op4_warc, "op5_decontamination": op5_decontamination, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_secrets": op8_secrets, "op10_embeddings": op10_embeddings}
+    return {"op1_sharding": op1_sharding, "op2_ngram_join": op2_ngram_join, "op3_packing": op3_packing, "op4_warc": op4_warc, "op5_decontamination": op5_decontamination, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_secrets": op8_secrets, "op9_chat": op9_chat, "op10_embeddings": op10_embeddings}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL, "op4_warc": OP4_SQL, "op5_decontamination": OP5_SQL, "op8_secrets": OP8_SQL, "op10_embeddings": OP10_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op4_warc": OP4_SQL, "op5_decontamination": OP5_SQL, "op8_secrets": OP8_SQL, "op9_chat": OP9_SQL, "op10_embeddings": OP10_SQL}

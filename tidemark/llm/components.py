@@ -9,24 +9,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import Scratch, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, component: of every node of the edges, the least node it reaches. Null ends and loops are ignored; an
+    """A written table of node, component: of every node of the edges, the least node it reaches. Null ends and loops are ignored; an
     empty table gives no rows. Rounds grow with the logarithm of the longest path."""
     pairs = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
     )
-    now = written(pairs.distinct(), "edges")
-    state = _state(now)
-    while True:
-        now = written(_small_star(_large_star(now)), "edges")
-        then, state = state, _state(now)
-        if then == state:
-            break
-    roots = now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    with Scratch(edges.sparkSession) as scratch:
+        now = scratch.written(pairs.distinct(), "edges")
+        state = _state(now)
+        while True:
+            now = scratch.written(_small_star(_large_star(now)), "edges")
+            then, state = state, _state(now)
+            if then == state:
+                break
+        roots = now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
+        return written(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), "components")
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -16,6 +16,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import words_of
 
@@ -114,6 +115,37 @@ def _matcher(token: str, blocks: list[list[Item]], k: int, size: int) -> Matcher
     return _built[token, k]
 
 
+class Scan:
+    """What tasks need to scan texts against a benchmark: the items in blocks, broadcast after a check of their size."""
+
+    def __init__(self, benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text"):
+        items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text"))
+        total = items.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+        if total > BROADCAST_BYTES:
+            raise ValueError(f"{total} bytes of test texts; split them into calls of at most {BROADCAST_BYTES}")
+        blocks = blocks_of(sorted((r["item"], r["text"]) for r in items.where("text is not null").collect()))
+        self.token = hashlib.sha256(repr((blocks, window)).encode("utf-8", "replace")).hexdigest()
+        self.window, self.blocks = window, benchmark.sparkSession.sparkContext.broadcast(blocks)
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
+        """Of each text: its number of words, the merged word intervals of all occurrences, the items that occur."""
+        blocks = self.blocks.value
+        hits: list[list[tuple[int, int]]] = [[] for _ in texts]
+        found: list[set[str]] = [set() for _ in texts]
+        n_words = [0] * len(texts)
+        for k in range(max(1, len(blocks))):
+            matcher = _matcher(self.token, blocks, k, self.window) if blocks else None
+            for i, text in enumerate(texts):
+                words = words_of(text)
+                n_words[i] = len(words)
+                if matcher:
+                    at, ids = matcher.scan(words)
+                    if at:
+                        hits[i] = merged(hits[i] + at)
+                        found[i] |= ids
+        return n_words, hits, found
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -134,34 +166,12 @@ def decontaminate(
     checked first; a larger set must be split into several calls. Automata are built for blocks of
     BLOCK_BYTES, one at a time in a worker's memory.
     """
-    spark = docs.sparkSession
-    from pyspark.sql import functions as F
-
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    if total > BROADCAST_BYTES:
-        raise ValueError(f"{total} bytes of test texts; split them into calls of at most {BROADCAST_BYTES}")
-    blocks = blocks_of(sorted((r["item"], r["text"]) for r in items.where("text is not null").collect()))
-    shared = spark.sparkContext.broadcast(blocks)
-    token = hashlib.sha256(repr(blocks).encode("utf-8", "replace")).hexdigest()
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = shared.value
+    scan = Scan(benchmark, window, item_col, item_text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            hits: list[list[tuple[int, int]]] = [[] for _ in texts]
-            found: list[set[str]] = [set() for _ in texts]
-            n_words = [0] * len(texts)
-            for k in range(max(1, len(blocks))):
-                matcher = _matcher(token, blocks, k, window) if blocks else None
-                for i, text in enumerate(texts):
-                    words = words_of(text)
-                    n_words[i] = len(words)
-                    if matcher:
-                        at, ids = matcher.scan(words)
-                        if at:
-                            hits[i] = merged(hits[i] + at)
-                            found[i] |= ids
+            n_words, hits, found = scan(texts)
             yield pa.record_batch(
                 [
                     batch.column(0),
@@ -173,4 +183,16 @@ def decontaminate(
                 names=["doc_id", "n_words", "n_hit", "items", "spans"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs, with all their columns, in whose text no window of any item occurs."""
+    scan, at = Scan(benchmark, window), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, hits, _ = scan(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([not x for x in hits], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import Scratch, written
 from tidemark.llm.components import components
 
 SIMILARITY = 0.95
@@ -177,7 +177,7 @@ def near_duplicates(
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do those of
     another length than the most common one of the sample. Rows without an id have no links and a null
     component. A repeated vec_id counts as further rows. Columns other than the two named are ignored; an empty
-    table gives no rows.
+    table gives no rows. The result is a written table.
 
     Cost: vectors are written once per class, and cross one shuffle to their list and to the lists that they
     visit. The index is fitted on at most `sample` classes; its size doesn't grow with the data beyond that. A
@@ -203,87 +203,91 @@ def near_duplicates(
                 out.append((v / np.linalg.norm(v)).tobytes())
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "unit"])
 
-    units = written(good.mapInArrow(scaled, "vec_id long, unit binary"), "units")
-    classes = units.groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = written(classes.select("rep", "copies", "unit"), "classes")
-    picked = classes.orderBy(F.xxhash64("unit"), "rep").limit(sample).select("unit").collect()
-    total = classes.count()
-    if picked:
-        lengths, counts = np.unique([len(r["unit"]) for r in picked], return_counts=True)
-        length = int(lengths[counts.argmax()])
-        fitted = np.frombuffer(b"".join(r["unit"] for r in picked if len(r["unit"]) == length), np.float64).reshape(-1, length // 8)
-        lists = int(min(len(fitted), 4096, max(1, total**0.5)))
-        index = spark.sparkContext.broadcast(Index.fit(fitted, lists, similarity))
-        classes = classes.where(F.length("unit") == length)
-    else:
-        index = None
-
-    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float64).reshape(batch.num_rows, -1)
-            at, codes, error = index.value.encode(x)
-            visits = index.value.visits(x)
-            yield pa.record_batch(
-                [*batch.columns, pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array([v.tolist() for v in visits], pa.list_(pa.int32()))],
-                names=["rep", "copies", "unit", "list", "codes", "error", "visits"],
+    with Scratch(spark) as scratch:
+        units = scratch.written(good.mapInArrow(scaled, "vec_id long, unit binary"), "units")
+        classes = units.groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+        classes = scratch.written(classes.select("rep", "copies", "unit"), "classes")
+        picked = classes.orderBy(F.xxhash64("unit"), "rep").limit(sample).select("unit").collect()
+        total = classes.count()
+        if picked:
+            lengths, counts = np.unique([len(r["unit"]) for r in picked], return_counts=True)
+            length = int(lengths[counts.argmax()])
+            fitted = np.frombuffer(b"".join(r["unit"] for r in picked if len(r["unit"]) == length), np.float64).reshape(-1, length // 8)
+            lists = int(min(len(fitted), 4096, max(1, total**0.5)))
+            index = spark.sparkContext.broadcast(Index.fit(fitted, lists, similarity))
+            classes = classes.where(F.length("unit") == length)
+        else:
+            index = None
+
+        def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float64).reshape(batch.num_rows, -1)
+                at, codes, error = index.value.encode(x)
+                visits = index.value.visits(x)
+                yield pa.record_batch(
+                    [*batch.columns, pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array([v.tolist() for v in visits], pa.list_(pa.int32()))],
+                    names=["rep", "copies", "unit", "list", "codes", "error", "visits"],
+                )
+
+        if index:
+            coded = scratch.written(classes.mapInArrow(stored, "rep long, copies long, unit binary, list int, codes binary, error double, visits array<int>"), "coded")
+            blocks = scratch.written(coded.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+            sides = coded.select("rep", "copies", "unit", "codes", "error", F.col("list").alias("at"), F.lit(True).alias("home")).unionByName(
+                coded.select("rep", "copies", "unit", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"), F.explode("visits").alias("at"), F.lit(False).alias("home"))
             )
-
-    if index:
-        coded = written(classes.mapInArrow(stored, "rep long, copies long, unit binary, list int, codes binary, error double, visits array<int>"), "coded")
-        blocks = written(coded.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
-        sides = coded.select("rep", "copies", "unit", "codes", "error", F.col("list").alias("at"), F.lit(True).alias("home")).unionByName(
-            coded.select("rep", "copies", "unit", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"), F.explode("visits").alias("at"), F.lit(False).alias("home"))
+            # A stored vector has one block of its list, a visitor all; visitors are cut into as many parts as blocks.
+            at_home = F.array(F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+            part = F.expr("cast(pmod(xxhash64(rep, 1), blocks) as int)")
+            units_of = sides.join(blocks.withColumnRenamed("list", "at"), "at").select(
+                "at", "rep", "copies", "unit", "codes", "error", "home",
+                F.explode(F.when(F.col("home"), at_home).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("block"),
+                F.when(~F.col("home"), part).alias("part"), "blocks",
+            )
+            units_of = units_of.select("*", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("part"))).alias("slice"))
+            work = units_of.select(F.xxhash64("at", "block", "slice").alias("key"), F.expr("cast(not home as int)").alias("side"), "at", "rep", "copies", "unit", "codes", "error")
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                out: list[tuple] = []
+                here: list[tuple] = []
+                visiting: list[tuple] = []
+                key, place = None, 0
+
+                def finish() -> None:
+                    if here and visiting:
+                        out.extend(_compare(index.value, here, visiting, place, similarity))
+
+                for batch in batches:
+                    for k, side, at, rep, copies, unit, codes, error in zip(*(c.to_pylist() for c in batch.columns)):
+                        if k != key:
+                            finish()
+                            key, place, here, visiting = k, at, [], []
+                        (visiting if side else here).append((rep, copies, unit, codes, error))
+                        if len(visiting) >= 8 * VISITORS:
+                            finish()
+                            visiting = []
+                    if len(out) >= 10_000:
+                        yield _rows(out)
+                        out = []
+                finish()
+                yield _rows(out)
+
+            links = scratch.written(work.repartition("key").sortWithinPartitions("key", "side").mapInArrow(run, "rep long, links long, root long"), "links")
+            groups = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+            totals = links.groupBy("rep").agg(F.sum("links").alias("links")).join(groups, "rep", "left")
+        else:
+            totals = spark.createDataFrame([], "rep long, links long, component long")
+        reps = units.groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+        table = scratch.written(
+            reps.join(totals, "rep", "left").select("unit", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
+            "table",
         )
-        # A stored vector has one block of its list, a visitor all; visitors are cut into as many parts as blocks.
-        at_home = F.array(F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
-        part = F.expr("cast(pmod(xxhash64(rep, 1), blocks) as int)")
-        units_of = sides.join(blocks.withColumnRenamed("list", "at"), "at").select(
-            "at", "rep", "copies", "unit", "codes", "error", "home",
-            F.explode(F.when(F.col("home"), at_home).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("block"),
-            F.when(~F.col("home"), part).alias("part"), "blocks",
+        linked = units.join(table, "unit").groupBy("vec_id").agg(F.min("component_id").alias("component_id"), F.max("n_links").alias("n_links"))
+        return written(
+            rows.select("vec_id").join(linked, "vec_id", "left").select(
+                "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
+            ),
+            "near_duplicates",
         )
-        units_of = units_of.select("*", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("part"))).alias("slice"))
-        work = units_of.select(F.xxhash64("at", "block", "slice").alias("key"), F.expr("cast(not home as int)").alias("side"), "at", "rep", "copies", "unit", "codes", "error")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out: list[tuple] = []
-            here: list[tuple] = []
-            visiting: list[tuple] = []
-            key, place = None, 0
-
-            def finish() -> None:
-                if here and visiting:
-                    out.extend(_compare(index.value, here, visiting, place, similarity))
-
-            for batch in batches:
-                for k, side, at, rep, copies, unit, codes, error in zip(*(c.to_pylist() for c in batch.columns)):
-                    if k != key:
-                        finish()
-                        key, place, here, visiting = k, at, [], []
-                    (visiting if side else here).append((rep, copies, unit, codes, error))
-                    if len(visiting) >= 8 * VISITORS:
-                        finish()
-                        visiting = []
-                if len(out) >= 10_000:
-                    yield _rows(out)
-                    out = []
-            finish()
-            yield _rows(out)
-
-        links = written(work.repartition("key").sortWithinPartitions("key", "side").mapInArrow(run, "rep long, links long, root long"), "links")
-        groups = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-        totals = links.groupBy("rep").agg(F.sum("links").alias("links")).join(groups, "rep", "left")
-    else:
-        totals = spark.createDataFrame([], "rep long, links long, component long")
-    reps = units.groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    table = written(
-        reps.join(totals, "rep", "left").select("unit", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
-        "table",
-    )
-    linked = units.join(table, "unit").groupBy("vec_id").agg(F.min("component_id").alias("component_id"), F.max("n_links").alias("n_links"))
-    return rows.select("vec_id").join(linked, "vec_id", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
-    )
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

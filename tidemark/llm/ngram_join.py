@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD_TABLE, written
+from tidemark.llm.common import WORD_TABLE, Scratch, written
 from tidemark.llm.components import components
 
 WORDS = 5
@@ -99,12 +99,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = [i for i, s in enumerate(sets) if len(s)]
         made = signatures([sets[i] for i in full])
         sigs: list[bytes | None] = [None] * len(sets)
-        for row, i in zip(made, full):
-            sigs[i] = row.tobytes()
+        minis: list[bytes | None] = [None] * len(sets)
+        for row, low, i in zip(made, made.astype(np.uint8), full):
+            sigs[i], minis[i] = row.tobytes(), low.tobytes()
         digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
         yield pa.record_batch(
-            [batch.column(0), pa.array(digest, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(sigs, pa.binary())],
-            names=["doc_id", "digest", "size", "sig"],
+            [batch.column(0), pa.array(digest, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(sigs, pa.binary()), pa.array(minis, pa.binary())],
+            names=["doc_id", "digest", "size", "sig", "mini"],
         )
 
 
@@ -124,15 +125,15 @@ def met(similarity: np.ndarray, depth: int) -> np.ndarray:
 
 def expected_recall(edges: DataFrame, classes: DataFrame, depth: int) -> float:
     """The expected share of links that meet at this depth: the links seen, against those that their chances of
-    being seen stand for. Similarities are estimated from whole signatures, for all edges."""
-    left = classes.select(F.col("rep").alias("a"), F.col("sig").alias("x"))
-    right = classes.select(F.col("rep").alias("b"), F.col("sig").alias("y"))
+    being seen stand for. Similarities are estimated from the low bytes of whole signatures, for all edges."""
+    left = classes.select(F.col("rep").alias("a"), F.col("mini").alias("x"))
+    right = classes.select(F.col("rep").alias("b"), F.col("mini").alias("y"))
 
     def agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(TREES * DEPTH + 1, np.int64)
         for batch in batches:
             for x, y in zip(batch.column(0), batch.column(1)):
-                same = np.frombuffer(x.as_buffer(), np.uint32) == np.frombuffer(y.as_buffer(), np.uint32)
+                same = np.frombuffer(x.as_buffer(), np.uint8) == np.frombuffer(y.as_buffer(), np.uint8)
                 counts[np.count_nonzero(same)] += 1
         yield pa.record_batch([pa.array(np.arange(len(counts)), pa.int64()), pa.array(counts)], names=["same", "n"])
 
@@ -210,7 +211,7 @@ def _verified(home: list[tuple], guest: list[tuple]) -> Iterator[tuple[int, int,
 BAND = "cast(floor(ln(size) / ln(1 / 0.8) + 1e-9) as int)"
 
 
-def verify(members: DataFrame, docs: DataFrame) -> DataFrame:
+def verify(members: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """rep, links, root: exact links among the classes of each component; links counts rows, so a class of n
     copies counts n times. A class may have several rows; links add up and roots connect.
 
@@ -222,7 +223,7 @@ def verify(members: DataFrame, docs: DataFrame) -> DataFrame:
     here = counts.select("component", "band", "blocks")
     above = counts.select("component", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     below = counts.select("component", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
-    dealt = written(here.join(above, ["component", "band"], "left").join(below, ["component", "band"], "left"), "blocks")
+    dealt = scratch.written(here.join(above, ["component", "band"], "left").join(below, ["component", "band"], "left"), "blocks")
     placed = banded.join(dealt, ["component", "band"]).withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
     # Units (band, i, j, k): blocks i <= j of one band (k = 0), or i of the band and j of the next (k = 1).
     units = F.expr(
@@ -284,35 +285,39 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL, id_col: str = "doc_
     Words are runs of ASCII digits, letters (case folded) and non-ASCII characters; a text of fewer than five is
     one shingle. Texts without words, nulls included, link with nothing. Rows without an id get a null class and
     no links. A repeated doc_id is one document with the text of its first class; its rows count as copies.
-    Columns other than the two named are ignored; an empty table gives no rows.
+    Columns other than the two named are ignored; an empty table gives no rows. The result is a written table.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = written(rows.mapInArrow(_sign, "doc_id long, digest binary, size int, sig binary"), "signed")
-    named = signed.where("doc_id is not null and digest is not null")
-    least = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    least = written(least, "classes")
-    classes = written(
-        named.select("doc_id", "digest", "size", "sig")
-        .join(least, (named["digest"] == least["digest"]) & (named["doc_id"] == least["rep"]), "inner")
-        .select("rep", "copies", "size", "sig")
-        .dropDuplicates(["rep"]),
-        "representatives",
-    )
-    depth = DEPTH
-    while True:
-        edges = written(forest_edges(classes.select("rep", "sig"), depth), "edges")
-        if depth == 1 or float(met(np.array(SIMILARITY), depth)) >= recall or expected_recall(edges, classes, depth) >= recall:
-            break
-        depth -= 1
-    found = components(edges).withColumnRenamed("node", "rep")
-    members = written(classes.drop("sig").join(found, "rep"), "members")
-    links = written(verify(members, rows), "links")
-    groups = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    totals = links.groupBy("rep").agg(F.sum("links").alias("links")).join(groups, "rep", "left")
-    table = written(
-        least.join(totals, "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
-        "table",
-    )
-    return signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(table, "digest", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    with Scratch(docs.sparkSession) as scratch:
+        signed = scratch.written(rows.mapInArrow(_sign, "doc_id long, digest binary, size int, sig binary, mini binary"), "signed")
+        named = signed.where("doc_id is not null and digest is not null")
+        least = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+        least = scratch.written(least, "classes")
+        # A class's row is joined to it by both keys, so copies other than the first fall out in the join.
+        first = least.select(F.col("digest").alias("class"), "rep", "copies")
+        classes = named.join(first, (F.col("digest") == F.col("class")) & (F.col("doc_id") == F.col("rep")))
+        classes = scratch.written(classes.select("rep", "copies", "size", "sig", "mini"), "representatives")
+        depth = DEPTH
+        while True:
+            edges = scratch.written(forest_edges(classes.select("rep", "sig"), depth), "edges")
+            if depth == 1 or float(met(np.array(SIMILARITY), depth)) >= recall or expected_recall(edges, classes, depth) >= recall:
+                break
+            depth -= 1
+        found = components(edges).withColumnRenamed("node", "rep")
+        members = scratch.written(classes.drop("sig", "mini").join(found, "rep"), "members")
+        links = scratch.written(verify(members, rows, scratch), "links")
+        groups = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+        totals = links.groupBy("rep").agg(F.sum("links").alias("links")).join(groups, "rep", "left")
+        table = scratch.written(
+            least.join(totals, "rep", "left").select(
+                "digest", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+            ),
+            "table",
+        )
+        keys = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+        return written(
+            keys.join(table, "digest", "left").select(
+                "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+            ),
+            "near_duplicates",
+        )

@@ -77,6 +77,21 @@ def spelled(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
+def masked(text: Column, spans: Column, mask: str = "[secret]") -> Column:
+    """The text with its spans, which may overlap, replaced by the mask."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, span: Column) -> Column:
+        gap = F.substring(text, (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int"))
+        return (
+            F.when(span["start"] >= state["at"], F.struct(span["end"].alias("at"), F.concat(state["out"], gap, F.lit(mask)).alias("out")))
+            .when(span["end"] > state["at"], F.struct(span["end"].alias("at"), state["out"].alias("out")))
+            .otherwise(state)
+        )
+
+    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
+
+
 def addressed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, blob and text of each row; a null text is an empty one."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -129,3 +144,20 @@ def read_ledger(spark, path: str) -> DataFrame | None:
     folder = jvm.org.apache.hadoop.fs.Path(path)
     exists = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
     return spark.read.schema(LEDGER_SCHEMA).parquet(path) if exists else None
+
+
+def redact(docs: DataFrame, ledger: str | None = None, mask: str = "[secret]") -> DataFrame:
+    """docs with every finding in `text` masked; n_chars, where there is such a column, follows the new text.
+
+    Findings come from find_secrets and return by the text's address. Only rows in which some rule's pattern
+    occurs can have any, so no others cross the network. Null texts stay null; all columns stay.
+    """
+    hits = find_secrets(docs, ledger).where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_blob"])
+    hits = written(hits, "hits")
+    possible = F.coalesce(F.col("text"), F.lit("")).rlike("|".join(f"(?:{r.pattern})" if not r.pattern.startswith("(?i)") else f"(?i:{r.pattern[4:]})" for r in RULES))
+    rest, held = docs.where(~possible), docs.where(possible)
+    address = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    joined = held.join(hits, address == F.col("_blob"), "left")
+    new = F.when(F.col("_spans").isNotNull(), masked(F.col("text"), F.col("_spans"), mask)).otherwise(F.col("text"))
+    columns = [new.alias(c) if c == "text" else F.length(new).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return rest.unionByName(joined.select(*columns))

@@ -43,8 +43,8 @@ def quality(n: Column, slope: Column, r2: Column, min_train_days: int, r2_gate:
 
 
 def median_deviation(values: Column, median: Column) -> Column:
-    """The median of |x - median| over an array, interpolated on even counts."""
+    """The median of |x - median| over an array: the mean of the one or two middle ones; null for an empty array."""
     spread = F.array_sort(F.transform(values, lambda x: F.abs(x - median)))
     n = F.size(values)
-    low, high = F.floor((n + 1) / 2).cast("int"), F.floor((n + 2) / 2).cast("int")
-    return F.when(n > 0, (F.get(spread, low - 1) + F.get(spread, high - 1)) / 2)
+    middle = F.slice(spread, F.greatest(F.floor((n + 1) / 2).cast("int"), F.lit(1)), 2 - n % 2)
+    return F.when(n > 0, F.aggregate(middle, F.lit(0.0), lambda s, x: s + x) / (2 - n % 2))

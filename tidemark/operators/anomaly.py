@@ -17,13 +17,18 @@ SIGMA = 1.4826
 def robust_baseline(rows: DataFrame, value: str, frame: WindowSpec) -> DataFrame:
     """rows with med, mad_sigma and n_hist over the frame; days without history go, as an inner self-join has it.
 
-    The frame is bounded, so its values fit in an array from which median and deviation both come.
+    The frame is bounded, so its values fit in an array. The median is an attribute of the window, and the
+    deviation one of a one-row generator: filters on what is derived from them can't move below and repeat the
+    array work there.
     """
-    history = F.collect_list(value).over(frame)
-    rows = rows.withColumn("history", F.array_sort(history)).withColumn("n_hist", F.size("history").cast("long")).where("n_hist > 0")
-    low, high = F.floor((F.col("n_hist") + 1) / 2).cast("int"), F.floor((F.col("n_hist") + 2) / 2).cast("int")
-    med = (F.get("history", low - 1) + F.get("history", high - 1)) / 2
-    return rows.withColumn("med", med).withColumn("mad_sigma", median_deviation(F.col("history"), F.col("med")) * SIGMA).drop("history")
+    rows = rows.select(
+        "*",
+        F.percentile(value, F.lit(0.5)).over(frame).alias("med"),
+        F.collect_list(value).over(frame).alias("history"),
+        F.count(value).over(frame).alias("n_hist"),
+    ).where("n_hist > 0")
+    sigma = F.struct((median_deviation(F.col("history"), F.col("med")) * SIGMA).alias("mad_sigma"))
+    return rows.select("*", F.inline(F.array(sigma))).drop("history")
 
 
 def flag(n: Column, least: int, deviation: Column, threshold: Column) -> Column:

@@ -1,0 +1 @@
+"""Optional: keeping contract tables current from arriving snapshot files."""

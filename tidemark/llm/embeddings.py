@@ -127,13 +127,19 @@ def neighbour_margin(sample: np.ndarray, coarse: np.ndarray, similarity: float,
 
 
 def _compare(index: Index, stored: list[tuple], visitors: list[tuple], at: int, similarity: float) -> Iterator[tuple[int, int, int]]:
-    """For each visitor with links among the stored: its id, its linked rows here, and for the components an id of
-    its local group. Items are (rep, copies, vector bytes, codes, error)."""
+    """For each class with links found here: its id, linked rows to count, and for the components the least id of its
+    local group.
+
+    A pair whose two classes visit each other's lists is met twice and counts for the visitor each time; one that is
+    met here only counts for both. Items are (rep, copies, vector bytes, own list, codes, error, visited lists).
+    """
     rep = np.array([s[0] for s in stored])
     copies = np.array([s[1] for s in stored], np.int64)
     vectors = np.frombuffer(b"".join(s[2] for s in stored), np.float64).reshape(len(stored), -1)
-    codes = np.frombuffer(b"".join(s[3] for s in stored), np.uint8).reshape(len(stored), -1)
-    error = np.array([s[4] for s in stored])
+    codes = np.frombuffer(b"".join(s[4] for s in stored), np.uint8).reshape(len(stored), -1)
+    error = np.array([s[5] for s in stored])
+    visited = np.zeros((len(stored), len(index.coarse)), bool)
+    visited[np.repeat(np.arange(len(stored)), [len(s[6]) for s in stored]), np.concatenate([s[6] for s in stored])] = True
     reach = np.sqrt(2 - 2 * similarity) + error + 1e-6
     for i in range(0, len(visitors), VISITORS):
         part = visitors[i : i + VISITORS]
@@ -147,8 +153,14 @@ def _compare(index: Index, stored: list[tuple], visitors: list[tuple], at: int,
         a, b = a[keep], b[keep]
         if not len(a):
             continue
+        counts: dict[int, int] = {}
         links = np.bincount(a, weights=copies[b], minlength=len(part)).astype(np.int64)
-        least: dict[int, int] = {}
+        for n, k in zip(own.tolist(), links.tolist()):
+            counts[n] = counts.get(n, 0) + k
+        once = ~visited[b, np.array([v[3] for v in part])[a]]
+        theirs = np.array([v[1] for v in part], np.int64)
+        for n, k in zip(rep[b[once]].tolist(), theirs[a[once]].tolist()):
+            counts[n] = counts.get(n, 0) + k
         parent: dict[int, int] = {}
 
         def find(n: int) -> int:
@@ -161,11 +173,8 @@ def _compare(index: Index, stored: list[tuple], visitors: list[tuple], at: int,
             p, q = find(u), find(v)
             if p != q:
                 parent[max(p, q)] = min(p, q)
-        for n in parent:
-            least[n] = find(n)
-        counts = dict(zip(own.tolist(), links.tolist()))
-        for n in parent:
-            yield n, counts.get(n, 0), least[n]
+        for n in list(parent):
+            yield n, counts.get(n, 0), find(n)
 
 
 def near_duplicates(
@@ -232,19 +241,22 @@ def near_duplicates(
         if index:
             coded = scratch.written(classes.mapInArrow(stored, "rep long, copies long, unit binary, list int, codes binary, error double, visits array<int>"), "coded")
             blocks = scratch.written(coded.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
-            sides = coded.select("rep", "copies", "unit", "codes", "error", F.col("list").alias("at"), F.lit(True).alias("home")).unionByName(
-                coded.select("rep", "copies", "unit", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"), F.explode("visits").alias("at"), F.lit(False).alias("home"))
+            sides = coded.select("rep", "copies", "unit", "list", "codes", "error", "visits", F.col("list").alias("at"), F.lit(True).alias("home")).unionByName(
+                coded.select(
+                    "rep", "copies", "unit", "list", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"),
+                    F.lit(None).cast("array<int>").alias("visits"), F.explode("visits").alias("at"), F.lit(False).alias("home"),
+                )
             )
             # A stored vector has one block of its list, a visitor all; visitors are cut into as many parts as blocks.
             at_home = F.array(F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
             part = F.expr("cast(pmod(xxhash64(rep, 1), blocks) as int)")
             units_of = sides.join(blocks.withColumnRenamed("list", "at"), "at").select(
-                "at", "rep", "copies", "unit", "codes", "error", "home",
+                "at", "rep", "copies", "unit", "list", "codes", "error", "visits", "home",
                 F.explode(F.when(F.col("home"), at_home).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("block"),
                 F.when(~F.col("home"), part).alias("part"), "blocks",
             )
             units_of = units_of.select("*", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("part"))).alias("slice"))
-            work = units_of.select(F.xxhash64("at", "block", "slice").alias("key"), F.expr("cast(not home as int)").alias("side"), "at", "rep", "copies", "unit", "codes", "error")
+            work = units_of.select(F.xxhash64("at", "block", "slice").alias("key"), F.expr("cast(not home as int)").alias("side"), "at", "rep", "copies", "unit", "list", "codes", "error", "visits")
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out: list[tuple] = []
@@ -257,11 +269,11 @@ def near_duplicates(
                         out.extend(_compare(index.value, here, visiting, place, similarity))
 
                 for batch in batches:
-                    for k, side, at, rep, copies, unit, codes, error in zip(*(c.to_pylist() for c in batch.columns)):
+                    for k, side, at, *item in zip(*(c.to_pylist() for c in batch.columns)):
                         if k != key:
                             finish()
                             key, place, here, visiting = k, at, [], []
-                        (visiting if side else here).append((rep, copies, unit, codes, error))
+                        (visiting if side else here).append(item)
                         if len(visiting) >= 8 * VISITORS:
                             finish()
                             visiting = []

@@ -8,6 +8,8 @@ import numpy as np
 
 #: Cells of (row, tree) that are traversed at once.
 CELLS = 2_000_000
+#: Rows in the first pools of a calibration, and rows of the overall share that each pool counts besides its own.
+LEAST_POOL, PRIOR = 20, 10
 
 
 @dataclass
@@ -109,7 +111,10 @@ def _grow(cells, binned, g, h, edges, bins, depth, rate, l2, least, nodes, roots
 
 @dataclass
 class Isotonic:
-    """A monotone map of scores by pooling adjacent violators, linear between the pools."""
+    """A monotone map of scores by pooling adjacent violators, linear between the pools.
+
+    Pools start at LEAST_POOL rows and count PRIOR more of the overall share, so that a few rows claim little.
+    """
 
     x: np.ndarray
     y: np.ndarray
@@ -120,13 +125,15 @@ class Isotonic:
             return Isotonic(np.array([0.0, 1.0]), np.array([0.0, 1.0]))
         order = np.argsort(score, kind="stable")
         pools: list[list[float]] = []
-        for s, v in zip(score[order], label[order]):
-            pools.append([float(v), 1.0, float(s)])
+        for part in np.array_split(order, max(1, len(order) // LEAST_POOL)):
+            pools.append([float(label[part].sum()), float(len(part)), float(score[part].sum())])
             while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
                 b = pools.pop()
                 for k in range(3):
                     pools[-1][k] += b[k]
-        return Isotonic(np.array([p[2] / p[1] for p in pools]), np.array([p[0] / p[1] for p in pools]))
+        share = float(label.mean())
+        y = np.array([(p[0] + PRIOR * share) / (p[1] + PRIOR) for p in pools])
+        return Isotonic(np.array([p[2] / p[1] for p in pools]), np.maximum.accumulate(y))
 
     def __call__(self, score: np.ndarray) -> np.ndarray:
         """A hundredth of the score itself stays in, so that order inside a pool isn't lost."""

@@ -158,6 +158,8 @@ def redact(docs: DataFrame, ledger: str | None = None, mask: str = "[secret]") -
     rest, held = docs.where(~possible), docs.where(possible)
     address = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
     joined = held.join(hits, address == F.col("_blob"), "left")
+    # Two steps: beside an alias `text`, lambda bodies would see the new column instead of the old one.
     new = F.when(F.col("_spans").isNotNull(), masked(F.col("text"), F.col("_spans"), mask)).otherwise(F.col("text"))
-    columns = [new.alias(c) if c == "text" else F.length(new).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return rest.unionByName(joined.select(*columns))
+    joined = joined.withColumn("_masked", new)
+    own = {"text": F.col("_masked"), "n_chars": F.length("_masked")}
+    return rest.unionByName(joined.select(*(own[c].cast(docs.schema[c].dataType).alias(c) if c in own else F.col(c) for c in docs.columns)))

@@ -30,7 +30,7 @@ MARKER = re.compile(r"^\s{0,3}(?:[#>*_\[<|]{0,3})\s*([A-Za-z][A-Za-z0-9_ ]{0,20}
 _CLASS = {name: 1 + i for i, role in enumerate(ROLES) for name in NAMES[role]}
 OTHER = 4
 #: Labelled rows to learn from, and the share of their markers left out.
-SAMPLE, UNMARKED = 50_000, 0.2
+SAMPLE, UNMARKED = 10_000, 0.2
 #: Turn numbers, and lines, that are decoded together at most.
 TURNS, LINES = 256, 20_000
 #: How a turn is rendered.
@@ -116,10 +116,11 @@ def observations(lines: list[str]) -> tuple[list[tuple[int, ...]], list[int]]:
 
 
 def train(turns: DataFrame, most: int = SAMPLE) -> Hmm:
-    """Learn from at most `most` rows with a known role: whole conversations of least hash, the last one cut."""
+    """Learn from at most `most` rows with a known role, each to 2,000 characters: conversations of least hash, the
+    last one cut."""
     rows = (
         turns.where(F.lower("role").isin(*ROLES))
-        .select("conv_id", "turn", F.lower("role").alias("role"), F.substring("text", 1, 20_000).alias("text"))
+        .select("conv_id", "turn", F.lower("role").alias("role"), F.substring("text", 1, 2_000).alias("text"))
         .orderBy(F.xxhash64("conv_id"), "conv_id", "turn", "role", "text")
         .limit(most)
         .collect()

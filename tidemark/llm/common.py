@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +94,22 @@ def ranked(df: DataFrame, order: list[Column | str], rank: str = "rank") -> Data
     )
 
 
+#: Bytes of text that a task works on at once, beyond the batch that Spark hands it.
+SLICE_BYTES = 16_000_000
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most SLICE_BYTES in a text column, longer texts alone; nothing is copied."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 #: Words: runs of ASCII digits, letters (case folded) and all characters beyond ASCII.
 WORD_TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)

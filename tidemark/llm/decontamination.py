@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import words_of
+from tidemark.llm.common import slices, words_of
 
 #: Words in a window; an item of fewer, but not none, is one window.
 WINDOW = 10
@@ -169,7 +169,7 @@ def decontaminate(
     scan = Scan(benchmark, window, item_col, item_text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = batch.column(1).to_pylist()
             n_words, hits, found = scan(texts)
             yield pa.record_batch(
@@ -191,7 +191,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
     scan, at = Scan(benchmark, window), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             _, hits, _ = scan(batch.column(at).to_pylist())
             yield batch.filter(pa.array([not x for x in hits], pa.bool_()))
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD_TABLE, Scratch, written
+from tidemark.llm.common import WORD_TABLE, Scratch, slices, written
 from tidemark.llm.components import components
 
 WORDS = 5
@@ -94,7 +94,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 1):
         sets = [shingles(t) for t in batch.column(1).to_pylist()]
         full = [i for i, s in enumerate(sets) if len(s)]
         made = signatures([sets[i] for i in full])
@@ -234,9 +234,10 @@ def verify(members: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
         transform(filter(sequence(0, coalesce(below, 0)), i -> i < coalesce(below, 0)), i -> struct(band - 1 as band, i as i, block as j, 1 as k, false as home)))"""
     )
 
+    at = 1  # text
+
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
+        for batch in slices(batches, at):
             sets = pa.array([shingles(t).tobytes() for t in batch.column(at).to_pylist()], pa.binary())
             yield batch.set_column(at, pa.field("shingles", pa.binary()), sets)
 

@@ -18,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import slices
+
 #: Fixed value: how the byte-level vocabulary splits a text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces in an output batch.
@@ -188,7 +190,7 @@ def pack(
                 at += len(ids)
             sequence += 1
 
-        for batch in batches:
+        for batch in slices(batches, 1):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.append(encode(text or ""), np.array([end_id], "<u4")).astype("<u4")
                 total, start = len(ids), 0

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import slices
 from tidemark.llm.trees import Forest, fit
 
 #: Most labelled rows to learn from: those of least hash of doc_id.
@@ -81,7 +82,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, out: Column,
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 2):
         x = [statistics(t) for t in batch.column(2).to_pylist()]
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
@@ -102,7 +103,7 @@ def score(docs: DataFrame, model: Forest, threshold: float = 0.5, id_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             x = np.array([statistics(t) for t in batch.column(1).to_pylist()], float).reshape(batch.num_rows, 32)
             p = shared.value.probability(x)
             yield pa.record_batch([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])

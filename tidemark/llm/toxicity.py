@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import words_of, written
+from tidemark.llm.common import slices, words_of, written
 from tidemark.llm.quality import labelled_sample
 from tidemark.llm.trees import Forest, Isotonic, fit
 
@@ -105,7 +105,7 @@ def features(text: str | None, lexicon: dict[bytes, float], memo: dict[bytes, fl
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each term: rows with it by half and label."""
     counts = {(half, label): Counter() for half in (0, 1) for label in (0, 1)}
-    for batch in batches:
+    for batch in slices(batches, 2):
         for doc, label, text in zip(*(c.to_pylist() for c in batch.columns)):
             if text:
                 counts[doc % 2, label].update({t for word in set(words_of(text.lower())) for t in terms(word)})
@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, out: Column, most: int = SAMPLE) -
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memos: list[dict] = [{}, {}]
-        for batch in batches:
+        for batch in slices(batches, 2):
             docs_, labels_, texts = (c.to_pylist() for c in batch.columns)
             x = [features(t, shared.value[d % 2], memos[d % 2]) for d, t in zip(docs_, texts)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
@@ -192,7 +192,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
     scores = scorer(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             p = scores(batch.column(1).to_pylist())
             yield pa.record_batch([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
@@ -205,7 +205,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             yield batch.filter(pa.array(scores(batch.column(at).to_pylist()) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

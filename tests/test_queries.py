@@ -24,7 +24,7 @@ def plain(v):
     return v.isoformat() if hasattr(v, "isoformat") else v
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query(spark, sf, con, name):
     df = queries()[name](spark, sf)
     got = con.execute(oracle_sql()[name])
@@ -37,3 +37,13 @@ def test_query(spark, sf, con, name):
 def test_scans_read_few_columns(spark, sf):
     plan = queries()["tbspc_daily"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "l_shipdate" in plan and "l_extendedprice" not in plan
+
+
+def test_smoothing_queries(spark, sf):
+    """No SQL for these: rows, bounds and freshness."""
+    rows = queries()["esm_forecast"](spark, sf).collect()
+    future = [r for r in rows if r["actual"] is None]
+    assert future and all(r["lower_bound"] <= r["prediction"] <= r["upper_bound"] for r in future)
+    assert all(r["day_dt"] > r["trained_through"] for r in future)
+    points = queries()["esm_compare"](spark, sf).where("engine = 'ESM'").collect()
+    assert points and {r["horizon_days"] for r in points} == {30}

@@ -18,6 +18,7 @@ from tidemark.operators import daily
 from tidemark.plans import compare as comparing
 from tidemark.plans.engine import Engine
 from tidemark.plans.reports import Reports
+from tidemark.sources.shared import shared_path
 from tidemark.sources.tables import tables_seam
 
 #: The levels of these tables grow by megabytes a day, far below the default floor.
@@ -374,6 +375,47 @@ QUERIES: dict[str, Query] = {
 }
 
 
+def _trained(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine whose models are trained anew in the shared folder; the daily relations are kept meanwhile."""
+    engine = Engine(tables_seam(spark, sf_dir), CONFIG, models_path=shared_path(spark, "models"), cache=True)
+    engine.train_all(20)
+    return engine
+
+
+def model_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every model after training: 20 tablespaces by days to full, and both CPU metrics."""
+    engine = _trained(spark, sf_dir)
+    engine.close()
+    return engine.models.registry.read().select("model_name", "series_kind", "dbid", "con_dbid", "series_key", "exsm_model", "seasonality", "trained_through", "status")
+
+
+def esm_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of all models: history with one-step predictions, future with bounds."""
+    engine = _trained(spark, sf_dir)
+    engine.close()
+    return engine.models.esm_forecast()
+
+
+def esm_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both engines at matched horizons, with the models' points 30 days ahead."""
+    engine = _trained(spark, sf_dir)
+    engine.close()
+    return engine.compare
+
+
+REGISTRY_SQL = """
+SELECT CASE kind WHEN 'TBSPC' THEN 'CAPT' WHEN 'CPU' THEN 'CAPC' ELSE 'CAPD' END || '_' || substr(upper(md5(dbid || '|' || con_dbid || '|' || key)), 1, 16) AS model_name,
+  kind AS series_kind, dbid, con_dbid, key AS series_key, CASE kind WHEN 'TBSPC' THEN 'EXSM_HOLT' ELSE 'EXSM_ADDWINTERS' END AS exsm_model,
+  CASE WHEN kind <> 'TBSPC' THEN 7 END AS seasonality, trained_through, 'OK' AS status
+FROM (
+  SELECT 'TBSPC' AS kind, dbid, con_dbid, tablespace_name AS key, last_day AS trained_through
+  FROM (SELECT * FROM tbspc_forecast WHERE train_n >= {min_train_days} ORDER BY days_to_full ASC NULLS LAST, cur_used DESC NULLS LAST, dbid, con_dbid, tablespace_name LIMIT 20)
+  UNION ALL SELECT 'CPU', dbid, con_dbid, 'BUSY_PCT', max(day_dt) FROM cpu_daily WHERE busy_pct IS NOT NULL GROUP BY dbid, con_dbid
+  UNION ALL SELECT 'DBCPU', dbid, con_dbid, 'DB_CPU_SEC', max(day_dt) FROM dbtime_daily WHERE db_cpu_sec IS NOT NULL GROUP BY dbid, con_dbid)
+"""
+REGISTRY_COLUMNS = exact("model_name", "series_kind", "dbid", "con_dbid", "series_key", "exsm_model", "seasonality", "trained_through", "status")
+
+
 def config_knobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored knobs and their defaults."""
     return spark.createDataFrame(Config().rows(), "cfg_name string, cfg_value double")
@@ -383,8 +425,10 @@ CONFIG_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', CAST({v} AS DOUBLE))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: q.frame for name, q in QUERIES.items()} | {"config_knobs": config_knobs}
+    own = {"config_knobs": config_knobs, "model_registry": model_registry, "esm_forecast": esm_forecast, "esm_compare": esm_compare}
+    return {name: q.frame for name, q in QUERIES.items()} | own
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q.oracle() for name, q in QUERIES.items()} | {"config_knobs": CONFIG_SQL}
+    registry = Query(lambda e: e.tbspc_forecast, REGISTRY_COLUMNS, REGISTRY_SQL).oracle()
+    return {name: q.oracle() for name, q in QUERIES.items()} | {"config_knobs": CONFIG_SQL, "model_registry": registry}

@@ -66,13 +66,12 @@ def render(reports: Reports, who: Identity) -> str:
     c = reports.config
     ok = reports.ok_models()
     out = [
-        RULE, " CAPACITY PREDICTIONS -- capacity + anomaly report", RULE,
+        RULE, " Capacity report", RULE,
         f" Database : {who.label}", f" Host     : {who.host}", f" Schema   : {who.user}", f" Generated: {who.as_of:%Y-%m-%d %H:%M:%S}",
-        f" Config   : days-to-full WARN<={c.dtf_warn} CRIT<={c.dtf_crit} ; CPU saturation {c.cpu_sat_pct:g}%",
-        f" Tier 2   : {ok} smoothing model(s) trained (OK)",
+        f" Limits   : warning within {c.dtf_warn} days, critical within {c.dtf_crit}; CPU saturated at {c.cpu_sat_pct:g}%",
+        f" Smoothing: {ok} trained model(s)",
         "." * 80,
-        " NOTE: short history shows in TRAIN_N and QUALITY; INSUFFICIENT_HISTORY means fewer",
-        "       training days than the configured minimum.",
+        f" A series of fewer than {c.min_train_days} days is graded INSUFFICIENT_HISTORY and isn't predicted.",
         RULE,
     ]
     con = [("CON_DBID", "con_dbid", plain), ("TABLESPACE", "tablespace_name", plain)]
@@ -81,37 +80,37 @@ def render(reports: Reports, who: Identity) -> str:
         out.extend(["", f"== {title} ==", *(f"   {n}" for n in notes), "", *layout(rows, columns)])
 
     section(
-        f"1. TABLESPACES BY DAYS-TO-FULL (quality=OK; top {c.top_n})", [f"SEV: CRIT<={c.dtf_crit} days, WARN<={c.dtf_warn} days. ACCEL>1.5 = growth accelerating."],
+        f"1. Soonest full (the first {c.top_n} of grade OK)", ["ACCEL compares recent growth with that of the whole window."],
         _rows(reports.days_to_full()),
         [*con, ("CUR_GB", "cur_gb", number(2)), ("LIMIT_GB", "limit_gb", number(2)), ("MB/DAY", "slope_mb", number(3)), ("DAYS_FULL", "days_to_full", plain), ("SEV", "sev", plain), ("ACCEL", "accel", number(2))],
     )
     section(
-        "2. TABLESPACE FORECAST (GB): current / +30 / +90 / +180, plus ESM +30", ["QUALITY: OK | LOW_CONFIDENCE (R2<gate) | FLAT (no growth) | INSUFFICIENT_HISTORY."],
+        "2. Forecast of every tablespace in GB", [f"Grades: OK, LOW_CONFIDENCE (R2 below {c.r2_gate:g}), FLAT, INSUFFICIENT_HISTORY."],
         _rows(reports.forecast_table()),
         [*con, ("TRAIN_N", "n", plain), ("CUR_GB", "cur_gb", number(2)), ("+30_GB", "p30", number(2)), ("+90_GB", "p90", number(2)), ("+180_GB", "p180", number(2)), ("R2", "r2", number(3)), ("QUALITY", "quality", plain), ("ESM+30", "esm30", number(2))],
     )
     section(
-        f"3. TABLESPACE GROWTH ANOMALIES (last {c.anomaly_days} days)", ["On the growth rate a day; GAP = days since the previous sample."],
+        f"3. Unusual growth, last {c.anomaly_days} days", ["Rates are a day; GAP counts days since the sample before."],
         _rows(reports.tbspc_anomalies()),
         [*con, ("DAY", "day_dt", plain), ("GAP", "gap", plain), ("DELTA_MB", "delta_mb", number(1)), ("RATE_MB/D", "rate_mb", number(1)), ("MED_MB/D", "med_mb", number(1)), ("THR_MB/D", "thr_mb", number(1)), ("ROBUST_Z", "z", number(1)), ("FLAG", "anomaly_flag", plain)],
     )
     section(
-        "4. CPU TREND (host busy% and DB CPU sec/day)", [f"DAYS_SAT = days until host busy% reaches {c.cpu_sat_pct:g}% (BUSY_PCT only)."],
+        "4. CPU trend", [f"DAYS_SAT tells when BUSY_PCT reaches {c.cpu_sat_pct:g}%."],
         _rows(reports.cpu_trend_table()),
         [con[0], ("METRIC", "metric", plain), ("TRAIN_N", "n", plain), ("CURRENT", "cur_val", number(2)), ("SLOPE/DAY", "slope_day", number(4)), ("R2", "r2", number(3)), ("DAYS_SAT", "days_sat", plain), ("QUALITY", "quality", plain)],
     )
     section(
-        f"5. CPU BUSY% ANOMALIES vs same-weekday baseline (last {c.anomaly_days} days)", ["FLAG when |busy% - median%| exceeds THRESHOLD (k*MAD, floored)."],
+        f"5. Unusual CPU days against their weekday, last {c.anomaly_days} days", ["A day is flagged if it is further from the median than THRESH%."],
         _rows(reports.cpu_anomalies()),
         [con[0], ("DAY", "day_dt", plain), ("BUSY%", "busy_pct", number(2)), ("MEDIAN%", "median_pct", number(2)), ("THRESH%", "threshold_pct", number(2)), ("ROBUST_Z", "z", number(1)), ("FLAG", "anomaly_flag", plain)],
     )
     if reports.shows_esm(ok):
         cells = [("HORIZON", "h", plain), ("REGR", "regr", number(2)), ("ESM", "esm", number(2)), ("ESM_LO", "esm_lo", number(2)), ("ESM_HI", "esm_hi", number(2))]
-        section("6. TIER 2 (ESM) vs TIER 1 (REGR)", [f"{ok} model(s) OK. ESM reaches +30 only, and only for fresh models.", "6a. Tablespaces (GB):"], _rows(reports.compare_table("TBSPC")), [con[0], ("TABLESPACE", "series_key", plain), *cells])
-        out.extend(["", "   6b. CPU (busy% / DB CPU sec):", "", *layout(_rows(reports.compare_table("CPU")), [con[0], ("METRIC", "series_key", plain), *cells])])
+        section("6. Smoothing against regression", [f"{ok} model(s); smoothing has one horizon, of models trained to the last day.", "Tablespaces in GB:"], _rows(reports.compare_table("TBSPC")), [con[0], ("TABLESPACE", "series_key", plain), *cells])
+        out.extend(["", "   CPU:", "", *layout(_rows(reports.compare_table("CPU")), [con[0], ("METRIC", "series_key", plain), *cells])])
     else:
-        out.extend(["", "== 6. TIER 2 (ESM) vs TIER 1 (REGR) ==", "   Skipped: show_esm is N, or AUTO with no trained models. Train models and run again."])
-    out.extend(["", RULE, " End of report -- nothing was created or modified.", RULE, ""])
+        out.extend(["", "== 6. Smoothing against regression ==", "   Skipped: show_esm is N, or AUTO with no trained models."])
+    out.extend(["", RULE, " End of report; nothing was written to the sources.", RULE, ""])
     return "\n".join(out)
 
 

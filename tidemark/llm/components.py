@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps.
 
-Only edge tables move; each step is one aggregation to the least neighbour, which combines before the shuffle,
-and one join back, of which Spark may split hot nodes. Each round is written to the shared folder.
+Only edge tables move; each step is one aggregation per node, which combines before the shuffle, and a join with
+the nodes that change, of which Spark may split hot ones. Each step is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now = scratch.written(pairs.distinct(), "edges")
         state = _state(now)
         while True:
-            now = scratch.written(_small_star(_large_star(now)), "edges")
+            now = scratch.written(_large_star(now, scratch), "edges")
+            now = scratch.written(_small_star(now, scratch), "edges")
             then, state = state, _state(now)
             if then == state:
                 break
@@ -37,15 +38,22 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["s"], row["x"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node moves to the node's least neighbour, or to the node itself if that is less."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-
+def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Every larger neighbour of a node moves to the node's least neighbour, if that is less than the node.
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """A node and its smaller neighbours move to the least of those."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    rest = edges.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return rest.union(least.select("a", F.col("m").alias("b"))).distinct()
+    Only nodes between a smaller and a larger neighbour move anything. They are written first, so the join has
+    them as a table of known size and Spark can split a hot node's edges.
+    """
+    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("u", "v")
+    between = both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("x")).where("m < u AND x > u")
+    moved = scratch.written(between.select(F.col("u").alias("b"), "m"), "moved")
+    return edges.join(moved, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """A node with several smaller neighbours keeps the least, and the others move there."""
+    several = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).where("n > 1")
+    several = scratch.written(several.select("a", "m"), "several")
+    stays = F.col("m").isNull() | (F.col("b") == F.col("m"))
+    moved = edges.join(several, "a", "left").select(F.when(stays, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(stays, F.col("b")).otherwise(F.col("m")).alias("b"))
+    return moved.distinct()

@@ -80,18 +80,18 @@ def tables_seam(spark: SparkSession, sf_dir: str) -> Seam:
     # One row a day: a few thousand at any scale factor.
     totals = all_days.select("*", F.sum("q").over(whole).alias("run"), F.sum("q").over(W.partitionBy()).alias("total"), F.row_number().over(W.orderBy(F.desc("day"))).alias("back"))
     zero = F.lit(0)
-
-    def synthetic(ts: int, used: Column, rows: DataFrame = totals) -> DataFrame:
-        return usage(rows, DBID, F.lit(101), F.lit(ts), used, zero, snap)
-
-    made = [
-        synthetic(20, F.lit(5000)),
-        synthetic(21, F.lit(1000) + F.col("run"), totals.where("back <= 10")),
-        synthetic(22, F.col("q")),
-        synthetic(23, F.col("total") - F.col("run")),
-        synthetic(30, F.col("run")),
-        synthetic(31, F.col("run")),
-    ]
+    made = {
+        20: F.lit(5000),
+        21: F.when(F.col("back") <= 10, 1000 + F.col("run")),
+        22: F.col("q"),
+        23: F.col("total") - F.col("run"),
+        30: F.col("run"),
+        31: F.col("run"),
+    }
+    # All in one pass over the days.
+    pairs = F.explode(F.array(*(F.struct(F.lit(ts).alias("ts"), used.cast("long").alias("used")) for ts, used in made.items()))).alias("p")
+    synthetic = totals.select("day", pairs).select("day", "p.ts", "p.used").where("used IS NOT NULL")
+    synthetic = usage(synthetic, DBID, F.lit(101), F.col("ts"), F.col("used"), zero, snap)
 
     units = F.round(F.col("value") * 100).cast("long")
     hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
@@ -101,9 +101,7 @@ def tables_seam(spark: SparkSession, sf_dir: str) -> Seam:
     hour_id = F.floor(seconds / 3600)
     hour_snaps = _snapshots(hourly, EVENT_DBID, 1_000_000 + hour_id, F.col("hour"), F.col("hour") + F.make_dt_interval(F.lit(0), F.lit(1)), boot, F.lit(1))
     hourly_usage = usage(hourly, EVENT_DBID, F.lit(101), F.lit(40), F.col("used"), zero, 1_000_000 + hour_id)
-    usages = real
-    for part in [*made, hourly_usage]:
-        usages = usages.unionByName(part)
+    usages = real.unionByName(synthetic).unionByName(hourly_usage)
 
     six = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 21600)
     restart = F.lit(RESTART).cast("timestamp_ntz")

@@ -79,6 +79,14 @@ def test_toxicity_features():
     assert toxicity.features(None, lexicon, {}) == toxicity.features("", lexicon, {}) == [0.0] * toxicity.WIDTH
 
 
+def test_capitals_of_the_whole_text():
+    """Every character counts, whatever the length: a stride over the text would miss these, or see nothing else."""
+    for text, share in (("b" + "a" * 62 + "B", 1 / 64), ("B" + "a" * 63, 1 / 64)):
+        assert toxicity.features(text * 2000, {}, {})[16] == pytest.approx(share)
+    shouted = "a " * 60_000 + "LOUD" * 100 + " a" * 4_000
+    assert toxicity.features(shouted, {}, {})[16] == pytest.approx(400 / len(shouted))
+
+
 # Chat
 
 

@@ -93,7 +93,7 @@ def features(text: str | None, lexicon: dict[bytes, float], memo: dict[bytes, fl
         near / max(1, len(flagged)),
         len(persons) / n,
         sum(map(str.isupper, raw)) / max(1, len(raw)),
-        sum(a.isupper() for a in text[:: max(1, chars // 2000)]) / (chars // max(1, chars // 2000) + 1),
+        sum(map(str.isupper, text)) / chars,
         text.count("!") / n,
         text.count("?") / n,
         len(odd) / max(1, len(raw)),

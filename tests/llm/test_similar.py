@@ -77,6 +77,23 @@ def test_groups_of_near_copies(spark, monkeypatch):
     assert len(check_texts(rows, texts)) > 2000
 
 
+def test_isolated_link_beside_a_hot_group(spark):
+    """Two texts of similarity exactly 0.8 that share no label of 8 values are found, however many close copies there are."""
+    for k in range(5000):
+        words = [f"p{k}q{i}" for i in range(44)]
+        pair = [" ".join(words[:36]), " ".join(words)]
+        x, y = ngram_join.signatures([ngram_join.shingles(t) for t in pair])
+        if not (x == y).reshape(ngram_join.TREES, ngram_join.DEPTH).all(1).any():
+            break
+    else:
+        pytest.fail("no such pair")
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(300)]
+    texts = {i: edited(base, 1, rng) for i in range(100)} | {1000: pair[0], 1001: pair[1]}
+    rows = ngram_join.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert (1000, 1001) in check_texts(rows, texts)
+
+
 def test_shingles_and_signatures():
     a, b = ngram_join.shingles("a b c d e f g"), ngram_join.shingles("A, b; c d e f g")
     assert len(a) == 3 and (a == b).all() and len(ngram_join.shingles("a b")) == 1 and len(ngram_join.shingles(None)) == 0

@@ -4,8 +4,8 @@
    stands for it.
 2. Each class gets TREES labels of DEPTH MinHash values. A tree is the sorted order of its labels; classes that
    share a prefix of a label stand next to each other in that tree, which the shuffle by prefix finds.
-3. Prefixes are shortened level by level until the expected share of links that meet in some tree reaches the
-   target; the similarities that this depends on are estimated from whole signatures of matched classes.
+3. Prefixes are as long as the worst link asked for, one of similarity exactly 0.8, allows: it still meets in some
+   tree with the target chance.
 4. Classes connected by matched prefixes form components. Each component is verified exactly, in blocks of
    bounded size: no list of pairs leaves a task, only each class's number of links and a spanning forest.
 """
@@ -26,7 +26,7 @@ from tidemark.llm.components import components
 WORDS = 5
 SIMILARITY = 0.8
 TREES, DEPTH = 32, 8
-#: Expected share of all links that must meet in a tree.
+#: Chance of every link, the worst included, to meet in a tree.
 RECALL = 0.9999
 #: Classes in a block of the verification.
 BLOCK = 1024
@@ -99,13 +99,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = [i for i, s in enumerate(sets) if len(s)]
         made = signatures([sets[i] for i in full])
         sigs: list[bytes | None] = [None] * len(sets)
-        minis: list[bytes | None] = [None] * len(sets)
-        for row, low, i in zip(made, made.astype(np.uint8), full):
-            sigs[i], minis[i] = row.tobytes(), low.tobytes()
+        for row, i in zip(made, full):
+            sigs[i] = row.tobytes()
         digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
         yield pa.record_batch(
-            [batch.column(0), pa.array(digest, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(sigs, pa.binary()), pa.array(minis, pa.binary())],
-            names=["doc_id", "digest", "size", "sig", "mini"],
+            [batch.column(0), pa.array(digest, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(sigs, pa.binary())],
+            names=["doc_id", "digest", "size", "sig"],
         )
 
 
@@ -123,28 +122,10 @@ def met(similarity: np.ndarray, depth: int) -> np.ndarray:
     return 1 - (1 - similarity**depth) ** TREES
 
 
-def expected_recall(edges: DataFrame, classes: DataFrame, depth: int) -> float:
-    """The expected share of links that meet at this depth: the links seen, against those that their chances of
-    being seen stand for. Similarities are estimated from the low bytes of whole signatures, for all edges."""
-    left = classes.select(F.col("rep").alias("a"), F.col("mini").alias("x"))
-    right = classes.select(F.col("rep").alias("b"), F.col("mini").alias("y"))
-
-    def agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(TREES * DEPTH + 1, np.int64)
-        for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1)):
-                same = np.frombuffer(x.as_buffer(), np.uint8) == np.frombuffer(y.as_buffer(), np.uint8)
-                counts[np.count_nonzero(same)] += 1
-        yield pa.record_batch([pa.array(np.arange(len(counts)), pa.int64()), pa.array(counts)], names=["same", "n"])
-
-    both = edges.join(left, "a").join(right, "b").select("x", "y")
-    rows = both.mapInArrow(agreement, "same long, n long").groupBy("same").agg(F.sum("n").alias("n")).collect()
-    same = np.array([r["same"] for r in rows], float) / (TREES * DEPTH)
-    n = np.array([r["n"] for r in rows], float)
-    linked = same >= SIMILARITY
-    if not n[linked].sum():
-        return float(met(np.array(SIMILARITY), depth))
-    return float(n[linked].sum() / (n[linked] / met(same[linked], depth)).sum())
+def depth_for(recall: float) -> int:
+    """The longest prefix at which even a link of similarity exactly SIMILARITY meets with this chance. It depends on no
+    other link, so that groups of close copies don't decide for isolated ones."""
+    return next((d for d in range(DEPTH, 1, -1) if float(met(np.array(SIMILARITY), d)) >= recall), 1)
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -290,22 +271,17 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL, id_col: str = "doc_
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     with Scratch(docs.sparkSession) as scratch:
-        signed = scratch.written(rows.mapInArrow(_sign, "doc_id long, digest binary, size int, sig binary, mini binary"), "signed")
+        signed = scratch.written(rows.mapInArrow(_sign, "doc_id long, digest binary, size int, sig binary"), "signed")
         named = signed.where("doc_id is not null and digest is not null")
         least = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
         least = scratch.written(least, "classes")
         # A class's row is joined to it by both keys, so copies other than the first fall out in the join.
         first = least.select(F.col("digest").alias("class"), "rep", "copies")
         classes = named.join(first, (F.col("digest") == F.col("class")) & (F.col("doc_id") == F.col("rep")))
-        classes = scratch.written(classes.select("rep", "copies", "size", "sig", "mini"), "representatives")
-        depth = DEPTH
-        while True:
-            edges = scratch.written(forest_edges(classes.select("rep", "sig"), depth), "edges")
-            if depth == 1 or float(met(np.array(SIMILARITY), depth)) >= recall or expected_recall(edges, classes, depth) >= recall:
-                break
-            depth -= 1
+        classes = scratch.written(classes.select("rep", "copies", "size", "sig"), "representatives")
+        edges = scratch.written(forest_edges(classes.select("rep", "sig"), depth_for(recall)), "edges")
         found = components(edges).withColumnRenamed("node", "rep")
-        members = scratch.written(classes.drop("sig", "mini").join(found, "rep"), "members")
+        members = scratch.written(classes.drop("sig").join(found, "rep"), "members")
         links = scratch.written(verify(members, rows, scratch), "links")
         groups = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
         totals = links.groupBy("rep").agg(F.sum("links").alias("links")).join(groups, "rep", "left")

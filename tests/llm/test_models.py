@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import TESTDATA
 from tidemark.llm import chat, quality, toxicity
-from tidemark.llm.queries import op6_quality, op7_toxicity, op9_chat
+from tidemark.llm.queries import op6_quality, op7_toxicity, op9_chat, op9_transcripts
 from tidemark.llm.trees import Isotonic, fit
 
 
@@ -99,6 +99,24 @@ def test_op9(spark, sf):
         assert got["role"] == r["role"] and got["rendered"] == f"<|{r['role']}|>\n{r['text']}\n<|end|>"
 
 
+def test_raw_transcripts(spark):
+    """Turns of held-out conversations, whose roles and boundaries no column gives, against those held back."""
+    folder = f"{TESTDATA}/sf0.1"
+    turns = spark.read.parquet(f"{folder}/conversations.parquet")
+    got, want, texts = {}, {}, {r["conv_id"]: r["text"] for r in chat.raw_transcripts(turns).collect()}
+    for r in op9_transcripts(spark, folder).where("held_out").orderBy("conv_id", "turn").collect():
+        got.setdefault(r["conv_id"], []).append((r["role"], r["rendered"]))
+    for r in turns.orderBy("conv_id", "turn", "role", "text").collect():
+        if r["conv_id"] in got:
+            want.setdefault(r["conv_id"], []).append((r["role"], chat.rendered(r["role"], (r["text"] or "").rstrip("\n"))))
+    n = sum(map(len, want.values()))
+    marked = sum(chat.observed(line, False)[1] > 0 for c in want for line in texts[c].split("\n"))
+    assert 0.7 * n < marked < 0.9 * n
+    exact = sum(len(set(got[c]) & set(want[c])) for c in want) / n
+    print(f"{len(want)} conversations, {n} turns, {marked} marked lines, exact {exact:.3f}")
+    assert exact >= 0.75
+
+
 @pytest.fixture(scope="module")
 def model(spark, sf):
     return chat.train(spark.read.parquet(f"{sf}/conversations.parquet"))

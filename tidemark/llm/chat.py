@@ -176,6 +176,21 @@ def parse(transcripts: DataFrame, model: Hmm, id_col: str = "conv_id", text_col:
     return transcripts.select(F.col(id_col).cast("long").alias("conv_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 
 
+def raw_transcripts(turns: DataFrame) -> DataFrame:
+    """conv_id, text: each conversation as one raw text, in which neither roles nor turn boundaries are given other than by
+    what speakers' names say. Turns stand in the order of turn, role and text, with a line break between them. A hash of
+    conv_id and turn leaves out the markers of UNMARKED of the turns and picks one of its role's NAMES for the others;
+    turns of unknown role have none."""
+    h = F.xxhash64("conv_id", "turn")
+    name = F.lit(None).cast("string")
+    for role, names in NAMES.items():
+        pick = F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.shiftrightunsigned(h, 20), F.lit(len(names))) + 1).cast("int"))
+        name = F.when(F.lower("role") == role, F.initcap(pick)).otherwise(name)
+    shown = F.when(F.pmod(h, F.lit(1000)) >= int(1000 * UNMARKED), F.concat(name, F.lit(": ")))
+    row = F.struct("turn", "role", "text", F.concat(F.coalesce(shown, F.lit("")), F.coalesce("text", F.lit(""))).alias("said"))
+    return turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["said"]), "\n").alias("text"))
+
+
 SCHEMA = "conv_id long, turn long, role string, text string, rendered string"
 
 

@@ -183,6 +183,13 @@ SELECT conv_id, turn, role, '<|' || role || '|>' || chr(10) || coalesce(text, ''
 """
 
 
+def op9_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns found in all conversations' raw transcripts, by a model that saw no held-out conversation."""
+    turns, out = table(spark, sf_dir, "conversations"), quality.held_out(F.col("conv_id"), 2, 1)
+    model = chat.train(turns.where(~F.coalesce(out, F.lit(False))))
+    return chat.parse(chat.raw_transcripts(turns), model).select("conv_id", out.alias("held_out"), "turn", "role", "rendered")
+
+
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings against all others."""
     found = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -207,7 +214,7 @@ FROM embeddings JOIN least ON least.a = vec_id LEFT JOIN degree ON degree.a = ve
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_ngram_join": op2_ngram_join, "op3_packing": op3_packing, "op4_warc": op4_warc, "op5_decontamination": op5_decontamination, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_secrets": op8_secrets, "op9_chat": op9_chat, "op10_embeddings": op10_embeddings}
+    return {"op1_sharding": op1_sharding, "op2_ngram_join": op2_ngram_join, "op3_packing": op3_packing, "op4_warc": op4_warc, "op5_decontamination": op5_decontamination, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_secrets": op8_secrets, "op9_chat": op9_chat, "op9_transcripts": op9_transcripts, "op10_embeddings": op10_embeddings}
 
 
 def oracle_sql() -> dict[str, str]:

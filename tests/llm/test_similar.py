@@ -195,6 +195,31 @@ def test_op10_odd_rows(spark):
     assert len(other) == 4 and [r["component_id"] for r in other if r["vec_id"] is None] == [None]
 
 
+def test_vectors_of_several_lengths(spark, monkeypatch):
+    """Near pairs and scaled copies of every length are found: two lengths with an index each, and rare ones without."""
+    monkeypatch.setattr(embeddings, "LEAST", 100)
+    monkeypatch.setattr(embeddings, "BLOCK", 32)
+    rng = np.random.default_rng(9)
+    x = []
+    for dimension, n in ((24, 120), (16, 80), (9, 30), (2, 3)):
+        base = rng.normal(size=(n, dimension))
+        x += [*base, *(base * 2 + 0.05 * rng.normal(size=base.shape))]
+    vectors = {int(k): v.tolist() for k, v in zip(rng.permutation(len(x)), x)}
+    rows = embeddings.near_duplicates(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")).collect()
+    links = plain_vectors_by_length(vectors)
+    degree = dict.fromkeys(vectors, 0)
+    for a, b in links:
+        degree[a] += 1
+        degree[b] += 1
+    least = closure(links, vectors)
+    assert {len(vectors[a]) for a, _ in links} == {24, 16, 9, 2}
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows} == {i: (degree[i], least[i]) for i in vectors}
+
+
+def plain_vectors_by_length(vectors):
+    return set().union(*(plain_vectors({i: v for i, v in vectors.items() if len(v) == n}) for n in {len(v) for v in vectors.values()}))
+
+
 @pytest.mark.parametrize("dimension", [3, 64])
 def test_lookup_bounds_true_distance(dimension):
     rng = np.random.default_rng(0)

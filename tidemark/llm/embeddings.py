@@ -29,6 +29,8 @@ SAMPLE = 20_000
 SUBSPACES, CODES = 8, 256
 #: Share of synthetic neighbours at the threshold that visited lists must hold.
 RECALL = 0.9995
+#: Vector lengths of which each gets a fitted index, those of most classes, and the classes that a length needs for one.
+FITTED, LEAST = 16, 1024
 #: Stored vectors in one unit of work, and visitors that are compared at once.
 BLOCK, VISITORS = 4096, 512
 
@@ -106,6 +108,21 @@ class Index:
         return np.sqrt(out)
 
 
+@dataclass
+class Indexes:
+    """The index of each vector length. Lists are numbered on from one fitted index to the next; a length without one
+    has a single list, numbered by the length below 0, in which all is compared."""
+
+    fitted: dict[int, tuple[Index, int]]  # dimension: index, number of its first list
+
+    def of(self, dimension: int) -> tuple[Index, int]:
+        if dimension in self.fitted:
+            return self.fitted[dimension]
+        width = (dimension + SUBSPACES - 1) // SUBSPACES
+        # Everything is stored as zero with its norm as error, so the table lookups keep every pair for the rerank.
+        return Index(np.zeros((1, dimension)), np.zeros((SUBSPACES, 1, width)), 0.0), -dimension
+
+
 def padded(x: np.ndarray) -> np.ndarray:
     extra = -x.shape[1] % SUBSPACES
     return np.pad(x, ((0, 0), (0, extra))) if extra else x
@@ -126,12 +143,13 @@ def neighbour_margin(sample: np.ndarray, coarse: np.ndarray, similarity: float,
     return float(np.quantile(np.concatenate(excess), recall)) + 1e-9
 
 
-def _compare(index: Index, stored: list[tuple], visitors: list[tuple], at: int, similarity: float) -> Iterator[tuple[int, int, int]]:
+def _compare(index: Index, stored: list[tuple], visitors: list[tuple], at: int, begin: int, similarity: float) -> Iterator[tuple[int, int, int]]:
     """For each class with links found here: its id, linked rows to count, and for the components the least id of its
     local group.
 
     A pair whose two classes visit each other's lists is met twice and counts for the visitor each time; one that is
-    met here only counts for both. Items are (rep, copies, vector bytes, own list, codes, error, visited lists).
+    met here only counts for both. Items are (rep, copies, vector bytes, own list, codes, error, visited lists), their
+    lists numbered from `begin` on.
     """
     rep = np.array([s[0] for s in stored])
     copies = np.array([s[1] for s in stored], np.int64)
@@ -139,7 +157,7 @@ def _compare(index: Index, stored: list[tuple], visitors: list[tuple], at: int,
     codes = np.frombuffer(b"".join(s[4] for s in stored), np.uint8).reshape(len(stored), -1)
     error = np.array([s[5] for s in stored])
     visited = np.zeros((len(stored), len(index.coarse)), bool)
-    visited[np.repeat(np.arange(len(stored)), [len(s[6]) for s in stored]), np.concatenate([s[6] for s in stored])] = True
+    visited[np.repeat(np.arange(len(stored)), [len(s[6]) for s in stored]), np.concatenate([s[6] for s in stored]) - begin] = True
     reach = np.sqrt(2 - 2 * similarity) + error + 1e-6
     for i in range(0, len(visitors), VISITORS):
         part = visitors[i : i + VISITORS]
@@ -157,7 +175,7 @@ def _compare(index: Index, stored: list[tuple], visitors: list[tuple], at: int,
         links = np.bincount(a, weights=copies[b], minlength=len(part)).astype(np.int64)
         for n, k in zip(own.tolist(), links.tolist()):
             counts[n] = counts.get(n, 0) + k
-        once = ~visited[b, np.array([v[3] for v in part])[a]]
+        once = ~visited[b, np.array([v[3] for v in part])[a] - begin]
         theirs = np.array([v[1] for v in part], np.int64)
         for n, k in zip(rep[b[once]].tolist(), theirs[a[once]].tolist()):
             counts[n] = counts.get(n, 0) + k
@@ -183,13 +201,15 @@ def near_duplicates(
     """vec_id, n_links, component_id of each row: links to other rows of cosine >= similarity, and the least vec_id
     reachable over links, itself included.
 
-    Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do those of
-    another length than the most common one of the sample. Rows without an id have no links and a null
+    Vectors that are null, empty, zero or hold null or non-finite components link with nothing; others link with
+    vectors of their own length. Rows without an id have no links and a null
     component. A repeated vec_id counts as further rows. Columns other than the two named are ignored; an empty
     table gives no rows. The result is a written table.
 
     Cost: vectors are written once per class, and cross one shuffle to their list and to the lists that they
-    visit. The index is fitted on at most `sample` classes; its size doesn't grow with the data beyond that. A
+    visit. The index of a length is fitted on at most `sample` classes; its size doesn't grow with the data beyond
+    that. The FITTED lengths of most classes have one if they have LEAST classes (the most common one always);
+    the classes of any other length are all compared with each other, in blocks. A
     list's stored vectors are dealt to blocks of about BLOCK, whatever its size.
     """
     spark = vectors.sparkSession
@@ -216,29 +236,34 @@ def near_duplicates(
         units = scratch.written(good.mapInArrow(scaled, "vec_id long, unit binary"), "units")
         classes = units.groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
         classes = scratch.written(classes.select("rep", "copies", "unit"), "classes")
-        picked = classes.orderBy(F.xxhash64("unit"), "rep").limit(sample).select("unit").collect()
-        total = classes.count()
-        if picked:
-            lengths, counts = np.unique([len(r["unit"]) for r in picked], return_counts=True)
-            length = int(lengths[counts.argmax()])
-            fitted = np.frombuffer(b"".join(r["unit"] for r in picked if len(r["unit"]) == length), np.float64).reshape(-1, length // 8)
-            lists = int(min(len(fitted), 4096, max(1, total**0.5)))
-            index = spark.sparkContext.broadcast(Index.fit(fitted, lists, similarity))
-            classes = classes.where(F.length("unit") == length)
-        else:
-            index = None
+        sizes = classes.groupBy(F.length("unit").alias("bytes")).count().orderBy(F.desc("count"), "bytes").limit(FITTED).collect()
+        fitted: dict[int, tuple[Index, int]] = {}
+        first = 0
+        for r in sizes:
+            if fitted and r["count"] < LEAST:
+                break
+            picked = classes.where(F.length("unit") == r["bytes"]).orderBy(F.xxhash64("unit"), "rep").limit(sample).select("unit").collect()
+            x = np.frombuffer(b"".join(p["unit"] for p in picked), np.float64).reshape(len(picked), -1)
+            lists = int(min(len(x), 4096, max(1, r["count"] ** 0.5)))
+            fitted[r["bytes"] // 8] = Index.fit(x, lists, similarity), first
+            first += lists
+        indexes = spark.sparkContext.broadcast(Indexes(fitted)) if fitted else None
 
         def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float64).reshape(batch.num_rows, -1)
-                at, codes, error = index.value.encode(x)
-                visits = index.value.visits(x)
-                yield pa.record_batch(
-                    [*batch.columns, pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array([v.tolist() for v in visits], pa.list_(pa.int32()))],
-                    names=["rep", "copies", "unit", "list", "codes", "error", "visits"],
-                )
-
-        if index:
+                lengths = pa.compute.binary_length(batch.column(2)).to_numpy()
+                for length in np.unique(lengths):
+                    part = batch.filter(pa.array(lengths == length))
+                    x = np.frombuffer(b"".join(part.column(2).to_pylist()), np.float64).reshape(part.num_rows, -1)
+                    index, begin = indexes.value.of(int(length) // 8)
+                    at, codes, error = index.encode(x)
+                    visits = index.visits(x)
+                    yield pa.record_batch(
+                        [*part.columns, pa.array(at + begin, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array([(v + begin).tolist() for v in visits], pa.list_(pa.int32()))],
+                        names=["rep", "copies", "unit", "list", "codes", "error", "visits"],
+                    )
+
+        if indexes:
             coded = scratch.written(classes.mapInArrow(stored, "rep long, copies long, unit binary, list int, codes binary, error double, visits array<int>"), "coded")
             blocks = scratch.written(coded.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
             sides = coded.select("rep", "copies", "unit", "list", "codes", "error", "visits", F.col("list").alias("at"), F.lit(True).alias("home")).unionByName(
@@ -266,7 +291,8 @@ def near_duplicates(
 
                 def finish() -> None:
                     if here and visiting:
-                        out.extend(_compare(index.value, here, visiting, place, similarity))
+                        index, begin = indexes.value.of(len(here[0][2]) // 8)
+                        out.extend(_compare(index, here, visiting, place - begin, begin, similarity))
 
                 for batch in batches:
                     for k, side, at, *item in zip(*(c.to_pylist() for c in batch.columns)):

@@ -160,3 +160,20 @@ def test_long_conversation(spark, model):
     rows = [(1, i, ("user", "assistant")[i % 2], f"line {i}\nnext") for i in range(1500)]
     got = chat.recover(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), model).orderBy("turn").collect()
     assert [r["role"] for r in got] == [r[2] for r in rows]
+
+
+@pytest.mark.parametrize("lines", [20_000, 7])
+def test_states_carry_over_between_pieces(spark, model, monkeypatch, lines):
+    """A long conversation without markers after its beginning has the roles of one Viterbi pass over all of it."""
+    monkeypatch.setattr(chat, "TURNS", 8)
+    monkeypatch.setattr(chat, "LINES", lines)
+    rng = np.random.default_rng(3)
+    texts = ["\n".join("w " * int(rng.integers(0, 60)) + "?" * int(rng.integers(2)) for _ in range(rng.integers(1, 5))) for _ in range(90)]
+    rows = [(c, i, "user" if i < 1 + c else None, t) for c in (1, 2) for i, t in enumerate(texts[: 60 + 30 * (c - 1)])] + [(3, 0, "user", "hi")]
+    got = chat.recover(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), model).collect()
+    want = {(3, 0): "user"}
+    for c in (1, 2):
+        of, turn = chat.transcript_lines([(r[2], r[3]) for r in rows if r[0] == c])
+        states = model.viterbi(chat.observations(of)[0])
+        want |= {(c, t): chat.ROLES[states[turn.index(t)] // 2] for t in set(turn)}
+    assert len(got) == len(rows) and {(r["conv_id"], r["turn"]): r["role"] for r in got} == want

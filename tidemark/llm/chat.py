@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import Scratch, written
+
 ROLES = ("system", "user", "assistant")
 #: Names that mark a speaker.
 NAMES = {
@@ -31,7 +33,7 @@ _CLASS = {name: 1 + i for i, role in enumerate(ROLES) for name in NAMES[role]}
 OTHER = 4
 #: Labelled rows to learn from, and the share of their markers left out.
 SAMPLE, UNMARKED = 10_000, 0.2
-#: Turn numbers, and lines, that are decoded together at most.
+#: Turn numbers in a stretch, and lines after which a piece of it closes.
 TURNS, LINES = 256, 20_000
 #: How a turn is rendered.
 BEGIN, END = "<|{role}|>\n", "\n<|end|>"
@@ -74,24 +76,53 @@ class Hmm:
                 np.add.at(table, (states, [o[k] for o in seen]), 1)
         return Hmm(np.log(first / first.sum()), np.log(step / step.sum(1, keepdims=True)), [np.log(t / t.sum(1, keepdims=True)) for t in emit])
 
-    def viterbi(self, seen: list[tuple[int, ...]], fresh: bool = True) -> np.ndarray:
-        """The most likely states; of equally likely ones the first. `fresh` tells that a conversation begins."""
+    def viterbi(self, seen: list[tuple[int, ...]], begins: int | None = None, ends: int | None = None) -> np.ndarray:
+        """The most likely states; of equally likely ones the first. A conversation begins and ends here, or the states
+        of the first and of the last line are given."""
         if not seen:
             return np.zeros(0, int)
         o = np.array(seen)
         score = sum(table[:, o[:, k]] for k, table in enumerate(self.emit)).T
         back = np.zeros((len(o), STATES), np.int64)
-        now = score[0] + (self.first if fresh else 0)
+        now = score[0] + (self.first if begins is None else np.where(np.arange(STATES) == begins, 0, -np.inf))
         for t in range(1, len(o)):
             way = now[:, None] + self.step
             back[t] = way.argmax(0)
             now = way[back[t], np.arange(STATES)] + score[t]
         states = np.empty(len(o), int)
-        states[-1] = now.argmax()
+        states[-1] = now.argmax() if ends is None else ends
         for t in range(len(o) - 1, 0, -1):
             states[t - 1] = back[t, states[t]]
         return states
 
+    def spanned(self, seen: list[tuple[int, ...]]) -> np.ndarray:
+        """From each state of the first line (rows) to each of the last: the best log probability of a path, without
+        what the first line shows."""
+        o = np.array(seen)
+        score = sum(table[:, o[:, k]] for k, table in enumerate(self.emit)).T
+        now = np.where(np.eye(STATES) > 0, 0, -np.inf)
+        for t in range(1, len(o)):
+            now = (now[:, :, None] + self.step).max(1) + score[t]
+        return now
+
+    def joined(self, pieces: list[tuple[np.ndarray, tuple[int, ...], bool]]) -> list[tuple[int, int, int]]:
+        """For each piece of a conversation, in order: whether an empty line precedes it, and the states of its first
+        and last line on the most likely path through all of them. A piece is what `spanned` gives, the observation
+        of its first line, and whether its last line is empty."""
+        ways, empty = [], False
+        for span, o, blank in pieces:
+            o = (o[0], int(empty), *o[2:])
+            come = now[:, None] + self.step if ways else self.first[None]
+            back = come.argmax(0)
+            way = (come.max(0) + sum(table[:, k] for table, k in zip(self.emit, o)))[:, None] + span
+            ways.append((int(empty), back, way.argmax(0)))
+            now, empty = way.max(0), blank
+        out, state = [], int(now.argmax())
+        for before, back, start in reversed(ways):
+            out.append((before, int(start[state]), state))
+            state = int(back[start[state]])
+        return out[::-1]
+
 
 def transcript_lines(turns: list[tuple[str | None, str | None]]) -> tuple[list[str], list[int]]:
     """Lines of a transcript of (speaker, text) turns, and the number of the turn of each: a marker stands before
@@ -200,50 +231,117 @@ def _turns(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["conv_id", "turn", "role", "text", "rendered"])
 
 
+SPANS = {"conv_id": pa.int64(), "stretch": pa.int64(), "piece": pa.int32(), "span": pa.list_(pa.float64()), "seen": pa.list_(pa.int32()), "blank": pa.bool_()}
+GUIDES = {"conv_id": pa.int64(), "stretch": pa.int64(), "states": pa.list_(pa.int32())}
+
+
+def batch_of(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(kinds)
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds.values())], names=list(kinds))
+
+
 def recover(turns: DataFrame, model: Hmm) -> DataFrame:
     """conv_id, turn, role, text, rendered of each row: its role as recovered from the transcript that the rows of
     its conversation form in the order of turn, with what stands in `role` as speaker marker where there is one.
 
     Null texts are empty turns; a null or unknown role is a turn without a usual marker, whose role comes from
-    its surroundings. Rows with equal turn numbers stand in the order of role and text. Conversations are
-    decoded in stretches of TURNS turn numbers and at most LINES lines, so one of any length stays bounded in
-    memory; a stretch that isn't the first may begin in any state. Null ids form a conversation; an empty table
-    gives no rows; columns other than conv_id, turn, role and text are ignored.
+    its surroundings. Rows with equal turn numbers stand in the order of role and text. Null ids form a
+    conversation; an empty table gives no rows; columns other than conv_id, turn, role and text are ignored.
+
+    Conversations are worked on in pieces of TURNS turn numbers that close once they pass LINES lines, so one of any length
+    stays bounded in memory, and are decoded as a whole: a first pass gives the best way through each piece from
+    every state to every state, those of a conversation are joined in order, and each piece is decoded between
+    the states that the best path through all has at its ends. The result is a written table.
 
-    Cost: one shuffle by conversation and stretch.
+    Cost: two shuffles by conversation and stretch, and one by conversation of a row of 36 numbers a piece.
     """
-    shared = turns.sparkSession.sparkContext.broadcast(model)
+    spark, most = turns.sparkSession, LINES
+    shared = spark.sparkContext.broadcast(model)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     rows = rows.withColumn("stretch", F.expr(f"floor(turn / {TURNS})"))
 
-    def decoded(part: list[tuple], fresh: bool) -> list[tuple]:
-        lines, turn = transcript_lines([(p[2], p[3]) for p in part])
-        seen, _ = observations(lines)
-        states = shared.value.viterbi(seen, fresh)
-        first = {t: k for k, t in reversed(list(enumerate(turn)))}
-        out = []
-        for i, p in enumerate(part):
-            role = ROLES[states[first[i]] // 2]
-            out.append((p[0], p[1], role, p[3] or "", rendered(role, p[3] or "")))
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int, list[int] | None, list[tuple]]]:
+        """(conversation, stretch), number in the stretch, guide of the stretch if any, and rows of each piece."""
         part: list[tuple] = []
-        key, fresh, lines = None, True, 0
+        key, n, lines, guide = None, 0, 0, None
         for batch in batches:
-            out: list[tuple] = []
-            for conv, turn, role, text, stretch in zip(*(c.to_pylist() for c in batch.columns)):
-                if part and ((conv, stretch) != key or lines > LINES):
-                    out.extend(decoded(part, fresh))
-                    fresh = (conv, stretch) != key
-                    part, lines = [], 0
+            for conv, stretch, turn, role, text, states in zip(*(c.to_pylist() for c in batch.columns)):
+                if part and ((conv, stretch) != key or lines > most):
+                    yield key, n, guide, part
+                    part, lines, n = [], 0, n + 1
                 if (conv, stretch) != key:
-                    key, fresh = (conv, stretch), stretch in (None, 0)
+                    key, n, guide = (conv, stretch), 0, None
+                if states is not None:
+                    guide = states
+                    continue
                 part.append((conv, turn, role, text))
                 lines += 1 + (text or "").count("\n")
-            yield _turns(out)
         if part:
-            yield _turns(decoded(part, fresh))
-
-    dealt = rows.repartition("conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", "turn", "role", "text")
-    return dealt.mapInArrow(run, SCHEMA)
+            yield key, n, guide, part
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for (conv, stretch), n, _, part in pieces(batches):
+            lines, _ = transcript_lines([(p[2], p[3]) for p in part])
+            seen, _ = observations(lines)
+            out.append((conv, stretch, n, shared.value.spanned(seen).ravel().tolist(), list(map(int, seen[0])), not lines[-1].strip()))
+            if len(out) >= 1000:
+                yield batch_of(out, SPANS)
+                out = []
+        yield batch_of(out, SPANS)
+
+    def guides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def join(conv: int | None, parts: list[tuple]) -> None:
+            if len(parts) > 1:
+                states: dict[int | None, list[int]] = {}
+                ways = shared.value.joined([(np.array(p[1]).reshape(STATES, STATES), tuple(p[2]), p[3]) for p in parts])
+                for p, way in zip(parts, ways):
+                    states.setdefault(p[0], []).extend(way)
+                out.extend((conv, stretch, guide) for stretch, guide in states.items())
+
+        key, parts = None, []
+        for batch in batches:
+            for conv, stretch, _, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if conv != key:
+                    join(key, parts)
+                    key, parts = conv, []
+                parts.append((stretch, *rest))
+            yield batch_of(out, GUIDES)
+            out.clear()
+        join(key, parts)
+        yield batch_of(out, GUIDES)
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for _, n, guide, part in pieces(batches):
+            lines, turn = transcript_lines([(p[2], p[3]) for p in part])
+            seen, _ = observations(lines)
+            if guide:
+                before, begins, ends = guide[3 * n : 3 * n + 3]
+                seen[0] = (seen[0][0], before, *seen[0][2:])
+                states = shared.value.viterbi(seen, begins, ends)
+            else:
+                states = shared.value.viterbi(seen)
+            first = {t: k for k, t in reversed(list(enumerate(turn)))}
+            for i, p in enumerate(part):
+                role = ROLES[states[first[i]] // 2]
+                out.append((p[0], p[1], role, p[3] or "", rendered(role, p[3] or "")))
+            if len(out) >= 1000:
+                yield _turns(out)
+                out = []
+        yield _turns(out)
+
+    order = ["conv_id", "stretch", "turn", "role", "text"]
+    plain = rows.select(*order, F.lit(None).cast("array<int>").alias("states"))
+    with Scratch(spark) as scratch:
+        dealt = plain.repartition("conv_id", "stretch").sortWithinPartitions(*order)
+        found = scratch.written(dealt.mapInArrow(spans, "conv_id long, stretch long, piece int, span array<double>, seen array<int>, blank boolean"), "spans")
+        ordered = found.repartition("conv_id").sortWithinPartitions("conv_id", "stretch", "piece")
+        guide = scratch.written(ordered.mapInArrow(guides, "conv_id long, stretch long, states array<int>"), "guides")
+        none = [F.lit(None).cast(k).alias(c) for c, k in (("turn", "long"), ("role", "string"), ("text", "string"))]
+        both = plain.unionByName(guide.select("conv_id", "stretch", *none, "states"))
+        # A stretch's guide comes before its rows.
+        dealt = both.repartition("conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", F.col("states").isNull(), *order[2:])
+        return written(dealt.mapInArrow(decoded, SCHEMA), "turns")

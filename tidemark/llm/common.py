@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,27 +11,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import delete, shared_path
+
 #: Rows of a plan-sized table (one row a partition, shard or hot key) that may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a new local one where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}/{name}"
+    return shared_path(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df as a Parquet table in the shared folder: lineage ends there, and the loss of an executor costs nothing before it."""
+    """The rows of df as a Parquet table in the shared folder: lineage ends there, and the loss of an executor costs
+    nothing before it. It goes with the application; what is needed for one call only belongs to a Scratch."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -47,14 +38,39 @@ class Scratch:
     def __enter__(self) -> Scratch:
         return self
 
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+
     def written(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        path = self.path(name)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __exit__(self, *_) -> None:
-        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        delete(self.spark, self.root)
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores before it as make it none of those taken, in any case of letters."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
+def hashed_sample(df: DataFrame, key: list[str], most: int) -> DataFrame:
+    """At most `most` rows of df: those of least hash of the key, then in the order of the columns.
+
+    Rows are counted first and cut by their hash to a few more than are wanted, so that what is sorted and sent on
+    is bounded by `most`, not by the number of partitions.
+    """
+    n = df.count()
+    h = F.xxhash64(*key)
+    if n > most:
+        share = (most + 8 * most**0.5 + 32) / n
+        if share < 1:
+            df = df.where(h < F.lit(int(-(2**63) + share * 2**64)))
+    return df.orderBy(h, *df.columns).limit(most)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -12,12 +12,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Scratch, written
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """A written table of node, component: of every node of the edges, the least node it reaches. Null ends and loops are ignored; an
-    empty table gives no rows. Rounds grow with the logarithm of the longest path."""
-    pairs = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(
-        F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
-    )
+def components(edges: DataFrame, within: Scratch | None = None) -> DataFrame:
+    """A written table of node, component: of every node of the edges (a, b), the least node it reaches. Null ends and
+    loops are ignored; an empty table gives no rows. Rounds grow with the logarithm of the longest path. The table
+    belongs to `within`, if given."""
+    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     with Scratch(edges.sparkSession) as scratch:
         now = scratch.written(pairs.distinct(), "edges")
         state = _state(now)
@@ -28,7 +27,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             if then == state:
                 break
         roots = now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-        return written(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), "components")
+        found = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+        return within.written(found, "components") if within else written(found, "components")
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -1,13 +1,15 @@
 """N-gram Jaccard join: a MinHash LSH forest, then exact verification.
 
-1. Each text becomes its set of word five-grams (hashes). Texts with equal sets are one class; its least doc_id
-   stands for it.
-2. Each class gets TREES labels of DEPTH MinHash values. A tree is the sorted order of its labels; classes that
-   share a prefix of a label stand next to each other in that tree, which the shuffle by prefix finds.
-3. Prefixes are as long as the worst link asked for, one of similarity exactly 0.8, allows: it still meets in some
-   tree with the target chance.
-4. Classes connected by matched prefixes form components. Each component is verified exactly, in blocks of
-   bounded size: no list of pairs leaves a task, only each class's number of links and a spanning forest.
+1. Each text becomes its set of word five-grams (hashes). Texts with equal sets are one class.
+2. Each class gets TREES labels of DEPTH MinHash values. All labels are sorted tree by tree, which is the prefix trie of
+   each tree in its depth-first order: classes under one trie node stand next to each other.
+3. A class's matched prefixes begin at full length and are shortened until the worst link that it can have meets it
+   in some tree with the target chance. A set of n five-grams can't have every similarity (one of 7 has none between
+   0.8 and 0.857), so short texts stop at longer prefixes; all others stop at the length that a link of similarity
+   exactly 0.8 needs. No class stops earlier because others have close copies.
+4. Classes connected by matched prefixes form components, and each is verified exactly: a small one at once, a large one
+   in blocks of bounded size that are packed into one row each, so rows grow with the number of blocks. No list of
+   pairs leaves a task, only each class's number of links and a spanning forest.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD_TABLE, Scratch, slices, written
+from tidemark.llm.common import WORD_TABLE, Scratch, shuffle_partitions, slices, small, unused, written
 from tidemark.llm.components import components
 
 WORDS = 5
@@ -28,8 +30,8 @@ SIMILARITY = 0.8
 TREES, DEPTH = 32, 8
 #: Chance of every link, the worst included, to meet in a tree.
 RECALL = 0.9999
-#: Classes in a block of the verification.
-BLOCK = 1024
+#: Classes, and shingles on average, in a block of the verification.
+BLOCK, BLOCK_SHINGLES = 256, 1_000_000
 #: Shingles in a block's local vocabulary that are multiplied at once.
 COLUMNS = 4096
 
@@ -94,27 +96,23 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 1):
-        sets = [shingles(t) for t in batch.column(1).to_pylist()]
+    """The last column, a text, as digest, size and signature of its set."""
+    for batch in slices(batches, -1):
+        sets = [shingles(t) for t in batch.column(-1).to_pylist()]
         full = [i for i, s in enumerate(sets) if len(s)]
         made = signatures([sets[i] for i in full])
         sigs: list[bytes | None] = [None] * len(sets)
         for row, i in zip(made, full):
             sigs[i] = row.tobytes()
-        digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+        digest = [digest_of(s) if len(s) else None for s in sets]
         yield pa.record_batch(
-            [batch.column(0), pa.array(digest, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(sigs, pa.binary())],
-            names=["doc_id", "digest", "size", "sig"],
+            [*batch.columns[:-1], pa.array(digest, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(sigs, pa.binary())],
+            names=[*batch.schema.names[:-1], "digest", "size", "sig"],
         )
 
 
-def forest_edges(classes: DataFrame, depth: int) -> DataFrame:
-    """a, b: each class with the least class that shares a prefix of this depth with it in some tree."""
-    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    label = F.expr(f"xxhash64(tree, substring(sig, tree * {4 * DEPTH} + 1, {4 * depth}))")
-    rows = classes.select("rep", "sig", tree).select("rep", label.alias("prefix"))
-    least = rows.groupBy("prefix").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").select("prefix", "least")
-    return rows.join(least, "prefix").where("rep != least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
+def digest_of(shingle_set: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingle_set.tobytes())
 
 
 def met(similarity: np.ndarray, depth: int) -> np.ndarray:
@@ -122,17 +120,119 @@ def met(similarity: np.ndarray, depth: int) -> np.ndarray:
     return 1 - (1 - similarity**depth) ** TREES
 
 
-def depth_for(recall: float) -> int:
-    """The longest prefix at which even a link of similarity exactly SIMILARITY meets with this chance. It depends on no
-    other link, so that groups of close copies don't decide for isolated ones."""
-    return next((d for d in range(DEPTH, 1, -1) if float(met(np.array(SIMILARITY), d)) >= recall), 1)
+def least_similarity(size: int) -> float:
+    """The least similarity from SIMILARITY on that a set of this size can have with a set of any size."""
+    found = 1.0
+    for other in range(int(np.ceil(size * SIMILARITY)), int(size / SIMILARITY) + 1):
+        common = int(np.ceil(SIMILARITY * (size + other) / (1 + SIMILARITY) - 1e-9))
+        if common <= min(size, other):
+            found = min(found, common / (size + other - common))
+    return found
+
+
+def depth_for(recall: float, similarity: float = SIMILARITY) -> int:
+    """The longest prefix at which a link of this similarity meets with this chance. It depends on no other link, so that
+    groups of close copies don't decide for isolated ones."""
+    return next((d for d in range(DEPTH, 1, -1) if float(met(np.array(similarity), d)) >= recall), 1)
+
+
+#: Sizes whose least similarity is worked out; sets of more shingles get the depth of SIMILARITY.
+SMALL = 64
+
+
+def depths(recall: float) -> np.ndarray:
+    """The prefix length of sets by size, up to SMALL."""
+    return np.array([depth_for(recall, least_similarity(max(1, min(n, SMALL)))) if n < SMALL else depth_for(recall) for n in range(SMALL + 1)])
+
+
+class _Level:
+    """At the trie nodes of one depth: a star from a node's first class to those whose prefixes stop there."""
+
+    def __init__(self, depth: int):
+        self.depth, self.width = depth, 1 + 4 * depth
+        self.head: bytes | None = None  # the first node, and its first class
+        self.first: int | None = None
+        self.last: np.ndarray | None = None  # the key of the last row, and the first class of its node
+        self.anchor: tuple[int, int] | None = None
+
+    def edges(self, keys: np.ndarray, nodes: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """keys: the next labels in sorted order, each with its tree before it; own: the depth at which a class stops."""
+        if self.anchor:  # the first class of the node that the rows before ended in stands for all of it
+            keys = np.concatenate([self.last[None], keys])
+            nodes, own = np.append(self.anchor[0], nodes), np.append(self.anchor[1], own)
+        prefix = keys[:, : self.width]
+        segment = np.concatenate([[0], np.cumsum((prefix[1:] != prefix[:-1]).any(1))])
+        mine = np.flatnonzero(own <= self.depth)
+        center = np.full(segment[-1] + 1, -1, np.int64)
+        center_own = center.copy()
+        at, which = np.unique(segment[mine], return_index=True)
+        center[at], center_own[at] = nodes[mine[which]], own[mine[which]]
+        to = center[segment[mine]]
+        linked = (to != nodes[mine]) & ((own[mine] == self.depth) | (center_own[segment[mine]] == self.depth))
+        if self.head is None:
+            self.head = prefix[0].tobytes()
+        if self.first is None and center[0] >= 0 and prefix[0].tobytes() == self.head:
+            self.first = int(center[0])
+        self.last, self.anchor = keys[-1].copy(), (int(center[-1]), int(center_own[-1])) if center[-1] >= 0 else None
+        return nodes[mine[linked]], to[linked]
+
+    def borders(self) -> list[tuple[int, bytes, int]]:
+        """The nodes that a partition begins and ends in, which may go on in its neighbours."""
+        out = [(self.depth, self.head, self.first)] if self.first is not None else []
+        return out + ([(self.depth, self.last[: self.width].tobytes(), self.anchor[0])] if self.anchor else [])
+
+
+def _tries(stop: np.ndarray):
+    """Edges of sorted (key, node, size) rows, then the borders of the partition; stop: depths by size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = [_Level(int(d)) for d in np.unique(stop)]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(0)
+            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            keys = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(column), -1)
+            nodes = batch.column(1).to_numpy()
+            own = stop[np.minimum(batch.column(2).to_numpy(), len(stop) - 1)]
+            for level in levels:
+                a, b = level.edges(keys, nodes, own)
+                yield _edges(a, b, np.zeros(len(a), np.int32), [None] * len(a))
+        found = [x for level in levels for x in level.borders()]
+        yield _edges([x[2] for x in found], [None] * len(found), [x[0] for x in found], [x[1] for x in found])
+
+    return run
+
+
+def _edges(a, b, depth, prefix) -> pa.RecordBatch:
+    columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(depth, pa.int32()), pa.array(prefix, pa.binary())]
+    return pa.record_batch(columns, names=["a", "b", "depth", "prefix"])
+
+
+def forest_edges(classes: DataFrame, scratch: Scratch, recall: float = RECALL) -> DataFrame:
+    """a, b: classes (node, size, sig) joined where their prefixes match in some tree, as stars.
+
+    One range shuffle sorts all labels, with the class as last key, so a node under which many classes stand is cut
+    over partitions; the stars at cut places are joined by a table of two nodes a partition and depth.
+    """
+    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    key = F.concat(F.expr("substring(trees, tree + 1, 1)"), F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})"))
+    # Of fewer shingles than this, only equal sets have the similarity.
+    labelled = classes.where(F.col("size") >= int(np.ceil(SIMILARITY / (1 - SIMILARITY) - 1e-9)))
+    labels = labelled.select("node", "size", "sig", F.lit(bytes(range(TREES))).alias("trees"), tree).select(key.alias("key"), "node", "size")
+    dealt = labels.repartitionByRange(shuffle_partitions(classes.sparkSession), "key", "node").sortWithinPartitions("key", "node")
+    found = scratch.written(dealt.mapInArrow(_tries(depths(recall)), "a long, b long, depth int, prefix binary"), "tries")
+    cut = found.where("prefix IS NOT NULL").select("depth", "prefix", "a")
+    least = cut.groupBy("depth", "prefix").agg(F.min("a").alias("b"))
+    across = cut.join(least, ["depth", "prefix"]).where("a <> b").select("a", "b")
+    return found.where("prefix IS NULL").select("a", "b").unionByName(across).distinct()
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections, by products of 0/1 matrices over the shingles that occur on both sides."""
     a, b = np.concatenate(left), np.concatenate(right)
     both = np.intersect1d(a, b)
-    out = np.zeros((len(left), len(right)), np.float32)
+    out = np.zeros((len(left), len(right)))
     rows = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (left, right)]
     places = [np.searchsorted(both, v) for v in (a, b)]
     keep = [(p < len(both)) & (both[np.minimum(p, len(both) - 1)] == v) if len(both) else np.zeros(len(v), bool) for p, v in zip(places, (a, b))]
@@ -147,18 +247,20 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verified(home: list[tuple], guest: list[tuple]) -> Iterator[tuple[int, int, int]]:
+Class = tuple[int, int, np.ndarray]  # node, copies, set
+
+
+def _verified(home: list[Class], guest: list[Class]) -> Iterator[tuple[int, int, int]]:
     """Of one block, or of two: for each class with links there its number of linked rows and the least class of
-    its local component. Items are (rep, copies, set); a block against itself has no guest."""
+    its local component. A block against itself has no guest."""
     items = home + guest
     sets = [x[2] for x in items]
     other = guest or home
     inner = _overlaps([x[2] for x in home], [x[2] for x in other])
-    sizes = np.array([len(s) for s in sets], np.float32)
+    sizes = np.array([len(s) for s in sets], np.float64)
     across = sizes[len(home) :] if guest else sizes
-    # Exact in integers: counts stay below 2**24, and 5 * common >= 4 * union is the test for 0.8.
     union = sizes[: len(home), None] + across[None, :] - inner
-    linked = inner.astype(np.float64) >= SIMILARITY * union.astype(np.float64) - 1e-9
+    linked = inner >= SIMILARITY * union - 1e-9
     if not guest:
         np.fill_diagonal(linked, False)
     copies = np.array([x[1] for x in items], np.int64)
@@ -188,76 +290,149 @@ def _verified(home: list[tuple], guest: list[tuple]) -> Iterator[tuple[int, int,
             yield x[0], int(links[i]), items[find(i)][0]
 
 
+def bundled(block: list[Class]) -> bytes:
+    """A block in one value: its vocabulary, and each set as steps through it. Near copies have the same steps, which
+    compress well."""
+    vocabulary, places = np.unique(np.concatenate([x[2] for x in block]), return_inverse=True)
+    lengths = np.array([len(x[2]) for x in block], np.int64)
+    steps = np.diff(places, prepend=0).astype(np.int32)
+    starts = np.cumsum(lengths) - lengths
+    steps[starts] = places[starts]
+    head = np.array([[x[0] for x in block], [x[1] for x in block], lengths], np.int64)
+    data = np.array([len(block), len(vocabulary)], np.int64).tobytes() + head.tobytes() + vocabulary.tobytes() + steps.tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unbundled(bundle: bytes) -> list[Class]:
+    data = pa.decompress(bundle[8:], int.from_bytes(bundle[:8], "little"), codec="zstd", asbytes=True)
+    n, words = np.frombuffer(data, np.int64, 2)
+    nodes, copies, lengths = np.frombuffer(data, np.int64, 3 * n, 16).reshape(3, n)
+    vocabulary = np.frombuffer(data, np.uint64, words, 16 + 24 * n)
+    steps = np.frombuffer(data, np.int32, -1, 16 + 24 * n + 8 * words)
+    return [(int(a), int(c), vocabulary[np.cumsum(s)]) for a, c, s in zip(nodes, copies, np.split(steps, np.cumsum(lengths)[:-1]))]
+
+
 #: Length bands: sets of similarity 0.8 or more lie in one band or in neighbouring ones.
 BAND = "cast(floor(ln(size) / ln(1 / 0.8) + 1e-9) as int)"
+LINKS = "node long, links long, root long"
 
 
-def verify(members: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """rep, links, root: exact links among the classes of each component; links counts rows, so a class of n
+def verify(members: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, links, root: exact links among the classes of each component; links counts rows, so a class of n
     copies counts n times. A class may have several rows; links add up and roots connect.
 
-    members: rep, component, copies, size. A component's classes are dealt to length bands and hashed blocks of
-    about BLOCK; each pair of blocks of a band or of neighbouring bands is one small task unit.
+    members: node, component, copies, size, key, digest; texts: key, text, from which a class takes any row of its key
+    whose set has its digest. A component of at most BLOCK classes and BLOCK_SHINGLES is one block. A larger one is
+    dealt to length bands and hashed blocks of about that size; each block is verified by itself where it is gathered,
+    and goes, packed into one row, to each other block of its band and the next.
     """
-    banded = members.withColumn("band", F.expr(BAND))
-    counts = banded.groupBy("component", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    here = counts.select("component", "band", "blocks")
-    above = counts.select("component", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
-    below = counts.select("component", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
-    dealt = scratch.written(here.join(above, ["component", "band"], "left").join(below, ["component", "band"], "left"), "blocks")
-    placed = banded.join(dealt, ["component", "band"]).withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
-    # Units (band, i, j, k): blocks i <= j of one band (k = 0), or i of the band and j of the next (k = 1).
-    units = F.expr(
-        """concat(
-        transform(sequence(block, blocks - 1), j -> struct(band as band, block as i, j as j, 0 as k, true as home)),
-        transform(filter(sequence(0, blocks - 1), i -> i < block), i -> struct(band as band, i as i, block as j, 0 as k, false as home)),
-        transform(filter(sequence(0, coalesce(above, 0)), j -> j < coalesce(above, 0)), j -> struct(band as band, block as i, j as j, 1 as k, true as home)),
-        transform(filter(sequence(0, coalesce(below, 0)), i -> i < coalesce(below, 0)), i -> struct(band - 1 as band, i as i, block as j, 1 as k, false as home)))"""
-    )
-
-    at = 1  # text
+    size = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    whole = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).select("component", size)
+    large = scratch.written(whole.where("blocks > 1").select("component", F.lit(True).alias("large")), "large")
+    banded = members.join(small(large, large.count()), "component", "left").withColumn("band", F.expr(f"if(large, {BAND}, 0)"))
+    here = banded.where("large").groupBy("component", "band").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).select("component", "band", size)
+    here = scratch.written(here, "bands")
+    above = here.select("component", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    below = here.select("component", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    dealt = here.join(above, ["component", "band"], "left").join(below, ["component", "band"], "left")
+    dealt = scratch.written(dealt, "blocks")
+    placed = banded.join(small(dealt, dealt.count()), ["component", "band"], "left").fillna({"blocks": 1, "above": 0, "below": 0})
+    placed = placed.withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    places = ["component", "band", "block", "blocks", "above", "below"]
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, at):
-            sets = pa.array([shingles(t).tobytes() for t in batch.column(at).to_pylist()], pa.binary())
-            yield batch.set_column(at, pa.field("shingles", pa.binary()), sets)
+        seen: set[int] = set()  # copies of a text give its class one row a task
+        for batch in slices(batches, 0):
+            rows, sets = [], []
+            for i, (text, digest, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+                if node not in seen:
+                    found = shingles(text)
+                    if digest_of(found) == digest:
+                        seen.add(node)
+                        rows.append(i)
+                        sets.append(found.tobytes())
+            yield pa.record_batch([*batch.take(pa.array(rows, pa.int64())).columns[2:], pa.array(sets, pa.binary())], names=[*batch.schema.names[2:], "shingles"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        block: dict[int, Class] = {}
+        key: tuple | None = None
 
-    texts = docs.select("doc_id", "text").join(placed.select(F.col("rep").alias("doc_id"), "component", "copies", units.alias("units")), "doc_id")
-    sets = texts.mapInArrow(shingled, texts.schema.simpleString().removeprefix("struct<").removesuffix(">").replace("text:string", "shingles:binary"))
-    rows = sets.select(F.explode("units").alias("unit"), "component", F.col("doc_id").alias("rep"), "copies", "shingles")
-    rows = rows.select(F.expr("xxhash64(component, unit.band, unit.i, unit.j, unit.k)").alias("unit"), F.col("unit.home").alias("home"), "rep", "copies", "shingles")
+        def finish() -> None:
+            if len(block) > 1:
+                out.extend((None,) * 7 + x for x in _verified(list(block.values()), []))
+            if block and (key[3] > 1 or key[4] or key[5]):
+                out.append((*key, bundled(list(block.values())), None, None, None))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        home: list[tuple] = []
-        guest: list[tuple] = []
-        unit = None
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(4)]
-            for u, is_home, rep, copies, data in zip(*columns, batch.column(4)):
-                if u != unit:
-                    out.extend(_block(home, guest))
-                    unit, home, guest = u, [], []
-                (home if is_home else guest).append((rep, copies, np.frombuffer(data.as_buffer(), np.uint64)))
-            if len(out) >= 10_000:
-                yield _links(out)
-                out = []
-        out.extend(_block(home, guest))
-        yield _links(out)
+            for *at, node, copies, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if tuple(at) != key:
+                    finish()
+                    key, block = tuple(at), {}
+                block[node] = node, copies, np.frombuffer(data, np.uint64)
+                if len(out) >= 1000:
+                    yield _found(out)
+                    out = []
+        finish()
+        yield _found(out)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit: tuple | None = None
+        other: bytes = b""
+        for batch in batches:
+            for *key, bundle in zip(*(c.to_pylist() for c in batch.columns)):
+                if tuple(key) == unit:
+                    links = list(_verified(unbundled(other), unbundled(bundle)))
+                    yield pa.record_batch([pa.array([x[i] for x in links], pa.int64()) for i in range(3)], names=["node", "links", "root"])
+                unit, other = tuple(key), bundle
+
+    texts = texts.join(placed.select("key", "digest", *places, "node", "copies"), "key").select("text", "digest", F.col("node").alias("own"), *places, "node", "copies")
+    sets = texts.mapInArrow(shingled, "own long, component long, band int, block int, blocks int, above int, below int, node long, copies long, shingles binary").drop("own")
+    gathered = sets.repartition("component", "band", "block").sortWithinPartitions("component", "band", "block")
+    first = scratch.written(gathered.mapInArrow(blocks, f"component long, band int, block int, blocks int, above int, below int, bundle binary, {LINKS}"), "first")
+    # Pairs of blocks i, j of one band (up = 0), or i of the band and j of the next one (up = 1).
+    units = F.expr(
+        """concat(
+        transform(filter(sequence(0, blocks - 1), j -> j <> block), j -> struct(band, least(block, j) as i, greatest(block, j) as j, 0 as up)),
+        transform(filter(sequence(0, above), j -> j < above), j -> struct(band, block as i, j as j, 1 as up)),
+        transform(filter(sequence(0, below), i -> i < below), i -> struct(band - 1 as band, i as i, block as j, 1 as up)))"""
+    )
+    packed = first.where("bundle IS NOT NULL").select("component", "bundle", F.explode(units).alias("u")).select("component", "u.*", "bundle")
+    unit = ["component", "band", "i", "j", "up"]
+    across = packed.select(*unit, "bundle").repartition(*unit).sortWithinPartitions(*unit).mapInArrow(pairs, LINKS)
+    return first.where("node IS NOT NULL").select("node", "links", "root").unionByName(across)
 
-    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "rep long, links long, root long")
 
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), *[pa.int32()] * 5, pa.binary(), *[pa.int64()] * 3]
+    names = ["component", "band", "block", "blocks", "above", "below", "bundle", "node", "links", "root"]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names=names)
 
-def _block(home: list[tuple], guest: list[tuple]) -> Iterator[tuple]:
-    """A unit; repeated rows of a class count once. A unit of one block has no guests and one of two needs both."""
-    home = list({x[0]: x for x in home}.values())
-    guest = list({x[0]: x for x in guest}.values())
-    return _verified(home, guest) if home and (guest or len(home) > 1) else iter(())
 
+def _signed(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Of each row: doc_id, two hashes of its text, and the digest, size and signature of its set; and the texts by the
+    first of the hashes."""
+    text = F.col(text_col)
+    keys = F.xxhash64(text).alias("key"), F.xxhash64(F.lit(7), text).alias("key2")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keys, text.alias("text"))
+    signed = scratch.written(rows.mapInArrow(_sign, "doc_id long, key long, key2 long, digest binary, size int, sig binary"), "signed")
+    return signed, rows.select("key", "text")
 
-def _links(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [(), (), ()]
-    return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["rep", "links", "root"])
+
+def _linked(signed: DataFrame, texts: DataFrame, least: Column, recall: float, scratch: Scratch) -> DataFrame:
+    """digest, copies, least, component, links of each class of these rows: the least value of its rows, and, null without
+    links, its component and its number of linked rows outside it. A written table."""
+    of = signed.groupBy("digest").agg(
+        F.count("*").alias("copies"), F.min(least).alias("least"), F.min("key").alias("key"), F.first("size").alias("size"), F.first("sig").alias("sig")
+    )
+    classes = scratch.written(of.withColumn("node", F.monotonically_increasing_id()), "classes")
+    edges = scratch.written(forest_edges(classes.select("node", "size", "sig"), scratch, recall), "edges")
+    found = components(edges, scratch)
+    members = scratch.written(classes.drop("sig", "least").join(found, "node"), "members")
+    links = scratch.written(verify(members, texts, scratch), "links")
+    groups = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
+    totals = links.groupBy("node").agg(F.sum("links").alias("links")).join(groups, "node", "left")
+    return scratch.written(classes.select("node", "digest", "copies", "least").join(totals, "node", "left").drop("node"), "linked")
 
 
 def near_duplicates(docs: DataFrame, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,31 +441,23 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL, id_col: str = "doc_
 
     Words are runs of ASCII digits, letters (case folded) and non-ASCII characters; a text of fewer than five is
     one shingle. Texts without words, nulls included, link with nothing. Rows without an id get a null class and
-    no links. A repeated doc_id is one document with the text of its first class; its rows count as copies.
-    Columns other than the two named are ignored; an empty table gives no rows. The result is a written table.
+    no links, and nobody links with them. A doc_id on several rows is as many documents: each row has the links of its
+    own text, and each class the least of its rows' ids. Columns other than the two named are ignored; an empty table
+    gives no rows. The result is a written table.
+
+    Cost: one scan for signatures, which cross one shuffle to their classes and, as 32 labels, one to the tries; one scan
+    and shuffle of texts to verify. Copies of one text combine before the first shuffle; the joins by key and
+    digest leave hot keys to Spark's skew handling. Work inside a component of n different texts is quadratic in n, as
+    every link is counted; rows are a block's, n / BLOCK, times the blocks that it meets.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     with Scratch(docs.sparkSession) as scratch:
-        signed = scratch.written(rows.mapInArrow(_sign, "doc_id long, digest binary, size int, sig binary"), "signed")
-        named = signed.where("doc_id is not null and digest is not null")
-        least = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-        least = scratch.written(least, "classes")
-        # A class's row is joined to it by both keys, so copies other than the first fall out in the join.
-        first = least.select(F.col("digest").alias("class"), "rep", "copies")
-        classes = named.join(first, (F.col("digest") == F.col("class")) & (F.col("doc_id") == F.col("rep")))
-        classes = scratch.written(classes.select("rep", "copies", "size", "sig"), "representatives")
-        edges = scratch.written(forest_edges(classes.select("rep", "sig"), depth_for(recall)), "edges")
-        found = components(edges).withColumnRenamed("node", "rep")
-        members = scratch.written(classes.drop("sig").join(found, "rep"), "members")
-        links = scratch.written(verify(members, rows, scratch), "links")
-        groups = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-        totals = links.groupBy("rep").agg(F.sum("links").alias("links")).join(groups, "rep", "left")
-        table = scratch.written(
-            least.join(totals, "rep", "left").select(
-                "digest", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-            ),
-            "table",
+        signed, texts = _signed(docs, scratch, id_col, text_col)
+        found = _linked(signed.where("doc_id IS NOT NULL AND digest IS NOT NULL"), texts, F.col("doc_id"), recall, scratch)
+        of = found.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("class_id"))
+        table = found.join(of, "component", "left").select(
+            "digest", F.coalesce("class_id", "least").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
         )
+        table = scratch.written(table, "table")
         keys = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
         return written(
             keys.join(table, "digest", "left").select(
@@ -298,3 +465,36 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL, id_col: str = "doc_
             ),
             "near_duplicates",
         )
+
+
+def one_of_each(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """The rows of docs, with all their columns, that near duplicates leave: of each group that links join, one row, that of
+    the least doc_id, a row without one being last; of rows alike in id and text, any one.
+
+    Here rows without an id and rows that share one count as documents of their own. Texts without words, nulls
+    included, link with nothing and all stay. An empty table gives no rows; columns other than doc_id and text may have any name.
+
+    Cost: that of near_duplicates, and a join of docs with the rows that go, which is a broadcast if those are few.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        signed, texts = _signed(docs, scratch, "doc_id", "text")
+        named = signed.where("digest IS NOT NULL")
+        own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "key2")
+        found = _linked(named, texts, own, recall, scratch)
+        of = found.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("stays"))
+        stays = found.join(of, "component", "left").select("digest", F.coalesce("stays", "least").alias("stays"))
+        rows = named.groupBy("digest", "doc_id", "key", "key2").agg(F.count("*").alias("rows")).join(stays, "digest")
+        goes = (own != F.col("stays")).alias("goes")
+        marked = rows.select("doc_id", "key", "key2", goes, "rows").where("goes OR rows > 1")
+        marked = written(marked, "marked")  # read by the result
+    a, b, c = (unused(n, docs.columns) for n in ("_id", "_key", "_key2"))
+    keyed = docs.withColumns({b: F.xxhash64("text"), c: F.xxhash64(F.lit(7), F.col("text"))})
+
+    def of_rows(which: str) -> tuple[DataFrame, Column]:
+        part = marked.where(which)
+        at = small(part.select(F.col("doc_id").alias(a), F.col("key").alias(f"{b}r"), F.col("key2").alias(f"{c}r")), part.count())
+        return at, F.col("doc_id").cast("long").eqNullSafe(at[a]) & (keyed[b] == at[f"{b}r"]) & (keyed[c] == at[f"{c}r"])
+
+    once = keyed.join(*of_rows("true"), "left_anti")
+    several = keyed.join(*of_rows("NOT goes"), "left_semi").dropDuplicates(["doc_id", b, c])
+    return once.unionByName(several).select(*docs.columns)

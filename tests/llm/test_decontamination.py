@@ -4,6 +4,7 @@ import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tidemark.llm import decontamination
 from tidemark.llm.decontamination import Matcher, decontaminate, keep_clean, merged, original_spans, windows
 from tidemark.llm.queries import OP5_SQL, op5_decontamination
 
@@ -68,11 +69,34 @@ def test_odd_rows(spark, odd, empty):
     assert decontaminate(empty, items).count() == 0 and decontaminate(odd, items.limit(0)).where("n_hit > 0").count() == 0
 
 
-def test_blocks(monkeypatch, spark, docs, sf):
-    from tidemark.llm import decontamination
+def test_one_automaton_at_any_size(spark, docs):
+    """A benchmark of 3 MB has one automaton, with a fraction of the nodes that all its windows would take."""
+    text = [r["text"] or "" for r in docs.collect()]
+    items = spark.createDataFrame([(i, f"{t} number{i}") for i, t in enumerate(text * 8)], "item_id long, text string")
+    parts = decontamination.benchmark_parts(items, "item_id", "text")
+    matcher = decontamination.Scan(parts[0]).shared.value
+    assert len(parts) == 1 and sum(map(len, text)) * 8 > 3_000_000
+    assert matcher.automaton.get_stats()["nodes_count"] < len(matcher.words)
+    rows = {r["doc_id"]: r for r in decontaminate(docs.limit(20), items).collect()}
+    want = {r["doc_id"]: [str(i) for i, t in enumerate(text * 8) if len(words(t)) >= 10 and " ".join(words(t)) in " ".join(words(r["text"]))] for r in docs.limit(20).collect()}
+    assert all(set(want[d]) <= set(r["items"]) and (r["n_hit"] == r["n_words"] or r["n_words"] < 10) for d, r in rows.items())
 
+
+def test_parts(monkeypatch, spark, docs, sf, odd):
+    """A benchmark beyond the bound for one broadcast is scanned in several passes, to the same result."""
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
-    want = sorted((r["doc_id"], r["n_hit"], r["items"]) for r in decontaminate(docs, bench).collect())
-    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 2000)
-    assert len(decontamination.Scan(bench).blocks.value) > 3
-    assert sorted((r["doc_id"], r["n_hit"], r["items"]) for r in decontaminate(docs, bench).collect()) == want
+    items = spark.createDataFrame([("q1", "Two, THREE four"), ("q1", "plage"), ("q2", None), ("q3", "!!"), (None, "seven")], "item_id string, text string")
+
+    def results():
+        return [sorted((repr(r) for r in decontaminate(d, b).collect())) for d, b in ((docs, bench), (odd, items))] + [
+            sorted((r["doc_id"] or 0) for r in keep_clean(d, b).collect()) for d, b in ((docs, bench), (odd, items))
+        ]
+
+    want = results()
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 30)
+    assert len(decontamination.benchmark_parts(items, "item_id", "text")) > 2
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 3000)
+    assert len(decontamination.benchmark_parts(bench, "item_id", "text")) > 1
+    assert results()[::2] == want[::2]
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 30)
+    assert [sorted(repr(r) for r in decontaminate(odd, items).collect()), sorted((r["doc_id"] or 0) for r in keep_clean(odd, items).collect())] == want[1::2]

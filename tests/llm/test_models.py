@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import TESTDATA
 from tidemark.llm import chat, quality, toxicity
-from tidemark.llm.queries import op6_quality, op7_toxicity, op9_chat, op9_transcripts
+from tidemark.llm.queries import op6_quality, op7_toxicity, op9_chat
 from tidemark.llm.trees import Isotonic, fit
 
 
@@ -90,9 +90,10 @@ def test_capitals_of_the_whole_text():
 # Chat
 
 
-def test_op9(spark, sf):
-    rows = {(r["conv_id"], r["turn"]): r for r in op9_chat(spark, sf).collect()}
-    want = spark.read.parquet(f"{sf}/conversations.parquet").collect()
+def test_given_roles_stay(spark, sf):
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    rows = {(r["conv_id"], r["turn"]): r for r in chat.recover(turns, chat.train(turns)).collect()}
+    want = turns.collect()
     assert len(rows) == len(want)
     for r in want:
         got = rows[r["conv_id"], r["turn"]]
@@ -104,7 +105,7 @@ def test_raw_transcripts(spark):
     folder = f"{TESTDATA}/sf0.1"
     turns = spark.read.parquet(f"{folder}/conversations.parquet")
     got, want, texts = {}, {}, {r["conv_id"]: r["text"] for r in chat.raw_transcripts(turns).collect()}
-    for r in op9_transcripts(spark, folder).where("held_out").orderBy("conv_id", "turn").collect():
+    for r in op9_chat(spark, folder).where("held_out").orderBy("conv_id", "turn").collect():
         got.setdefault(r["conv_id"], []).append((r["role"], r["rendered"]))
     for r in turns.orderBy("conv_id", "turn", "role", "text").collect():
         if r["conv_id"] in got:
@@ -117,6 +118,37 @@ def test_raw_transcripts(spark):
     assert exact >= 0.75
 
 
+def test_transcripts_in_pieces(spark, model, monkeypatch):
+    """Cut into pieces, a transcript has the turns that it has as a whole, also where a turn goes over several."""
+    monkeypatch.setattr(chat, "TURNS", 3)
+    rng = np.random.default_rng(5)
+    words = lambda: " ".join(["word"] * int(rng.integers(1, 40)))
+    rows = [(c, i, ("user", "assistant", None)[int(rng.integers(3))], "\n".join(words() for _ in range(int(rng.integers(1, 6)))) if rng.random() < 0.9 else None) for c in range(6) for i in range(5 * c + 1)]
+    rows += [(None, i, None, f"lost {i}") for i in range(7)] + [(9, i, None, None) for i in range(7)] + [(8, None, "user", "no number"), (8, 1, "user", "x")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    pieces = chat.raw_transcripts(turns)
+    whole = {}
+    for r in sorted(pieces.collect(), key=lambda r: -1 if r["part"] is None else r["part"]):
+        whole.setdefault(r["conv_id"], []).append(r["text"])
+    assert max(map(len, whole.values())) > 5
+    got = {}
+    for r in sorted(chat.parse(pieces, model, part_col="part").collect(), key=lambda r: r["turn"]):
+        got.setdefault(r["conv_id"], []).append((r["turn"], r["role"], r["text"], r["rendered"]))
+    want = {c: [(i, role, text, chat.rendered(role, text)) for i, (role, text) in enumerate(chat.parse_transcript("\n".join(x), model))] for c, x in whole.items()}
+    assert got == {c: x for c, x in want.items() if x} and 9 not in got
+
+
+def test_training_reads_whole_texts(spark):
+    """Lines beyond any prefix count, and so do stretches within a long conversation."""
+    long = "\n".join(["a line of some words here"] * 3000)
+    rows = [(1, i, ("user", "assistant")[i % 2], long if i % 2 else "hi") for i in range(200)] + [(1, 5, None, "x"), (None, None, "user", None)]
+    model = chat.train(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert np.exp(model.step[5, 5]) > 0.999 and np.exp(model.first[2]) > 0.3
+    few = chat.train(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), most=64)
+    assert np.isfinite(few.step).all()
+    assert np.isfinite(chat.train(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").limit(0)).step).all()
+
+
 @pytest.fixture(scope="module")
 def model(spark, sf):
     return chat.train(spark.read.parquet(f"{sf}/conversations.parquet"))

@@ -75,3 +75,40 @@ def test_redact(spark, odd, empty):
 def test_no_python_in_plans(spark, docs):
     plan = find_secrets(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_clashing_names(spark, odd):
+    """Columns of the names that redact uses inside stay as they are."""
+    assert {"_blob", "_spans", "_masked"} <= set(odd.columns)
+    for r in redact(odd).collect():
+        assert (r["_blob"], r["_spans"], r["_masked"]) == ("b", "s", "m")
+        if r["doc_id"] == 8:
+            assert r["text"] == "[secret] [secret]" and r["n_chars"] == len(r["text"])
+
+
+def test_many_findings(spark):
+    """Thousands of findings in one text, in several pieces of the folds, some overlapping."""
+    text = " ".join(f"é token={i:08d} " + ("AKIA" + "A" * 16 if i % 3 else "password: " + "0f" * 20) for i in range(3000))
+    df = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")
+    assert find_secrets(df).select(spelled(F.col("spans"))).collect()[0][0] == plain(text)
+    out, at = [], 0
+    for a, b in ((int(a), int(b)) for a, b in (x.split(":")[1:] for x in plain(text).split(","))):
+        if a >= at:
+            out += [text[at:a], "[secret]"]
+        at = max(at, b)
+    row = redact(df).collect()[0]
+    assert row["text"] == "".join(out) + text[at:] and row["n_chars"] == len(row["text"])
+
+
+def test_ledger_is_by_rule_version(spark, tmp_path):
+    """Deliveries: only unseen blobs are added, also where none of them has a finding; rule versions have folders."""
+    path = str(tmp_path / "ledger")
+    docs = spark.createDataFrame([(i, CASES[i % len(CASES)] + f" v{i % 20}") for i in range(60)] + [(None, "token=abcdefgh")], "doc_id long, text string")
+    whole = sorted(map(repr, find_secrets(docs).collect()))
+    for part in ("doc_id % 3 = 0", "doc_id % 3 = 0", "doc_id < 5", "doc_id IS NULL OR true"):
+        rows = sorted(map(repr, find_secrets(docs.where(part), path).collect()))
+        assert read_ledger(spark, path).groupBy("blob").count().where("count > 1").count() == 0
+    assert rows == whole and (tmp_path / "ledger" / "rule_version=base-1").is_dir()
+    before = read_ledger(spark, path).count()
+    find_secrets(docs, path)
+    assert read_ledger(spark, path).count() == before == docs.select("text").distinct().count()

@@ -116,6 +116,81 @@ def test_op2_odd_rows(odd, empty):
     assert ngram_join.near_duplicates(empty).count() == 0
 
 
+def test_repeated_ids(spark):
+    """Each row links by its own text, whichever rows share its id."""
+    a = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, a), (1, " ".join(f"v{i}" for i in range(40))), (3, a + " more"), (1, a)]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == [(1, 1, 0), (1, 1, 2), (1, 1, 2), (3, 1, 2)]
+
+
+def test_depth_stops_by_size():
+    """The least similarity of small sets is that of brute force, and prefixes meet it with the target chance."""
+    from fractions import Fraction
+
+    for n in range(1, 40):
+        possible = [Fraction(c, n + m - c) for m in range(1, 80) for c in range(1, min(n, m) + 1) if Fraction(c, n + m - c) >= Fraction(4, 5)]
+        assert ngram_join.least_similarity(n) == pytest.approx(float(min(possible)))
+    stop = ngram_join.depths(ngram_join.RECALL)
+    assert stop[6] > stop[-1] == 6 and all(ngram_join.met(np.array(ngram_join.least_similarity(n)), int(d)) >= ngram_join.RECALL for n, d in enumerate(stop) if n)
+
+
+@pytest.mark.parametrize("batch", [7, 1000])
+def test_tries_match_prefixes(batch):
+    """Stars over sorted labels join what has equal prefixes of the depth of both, also over cuts of batches and partitions."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    n = 400
+    labels = rng.integers(0, 3, (n, 2, 32)).astype(np.uint8)
+    labels[:, :, :20] = 1
+    size = rng.integers(4, 9, n)
+    stop = ngram_join.depths(ngram_join.RECALL)
+    rows = sorted((bytes([t]) + labels[i, t].tobytes(), i, int(size[i])) for i in range(n) for t in range(2))
+    edges, cuts = [], {}
+    for part in (rows[:300], rows[300:310], rows[310:]):
+        batches = [pa.record_batch([pa.array(c, k) for c, k in zip(zip(*part[i : i + batch]), (pa.binary(), pa.int64(), pa.int32()))], names=["k", "n", "s"]) for i in range(0, len(part), batch)]
+        for b in ngram_join._tries(stop)(iter(batches)):
+            for a, to, depth, prefix in zip(*(c.to_pylist() for c in b.columns)):
+                if prefix is None:
+                    edges.append((a, to))
+                else:
+                    cuts.setdefault((depth, prefix), []).append(a)
+    edges += [(a, x[0]) for x in cuts.values() for a in x]
+    want = []
+    for i in range(n):
+        for j in range(i):
+            k = 4 * int(max(stop[size[i]], stop[size[j]]))
+            if any((labels[i, t, :k] == labels[j, t, :k]).all() for t in range(2)):
+                want.append((i, j))
+    assert want and closure(edges, range(n)) == closure(want, range(n))
+
+
+def test_rows_grow_with_blocks(spark, monkeypatch, tmp_path):
+    """Rows that verification moves for a group of n near copies: n, and a row for each pair of blocks, not n a block."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 32)
+    counts = {}
+    for n in (128, 512):
+        rng = random.Random(n)
+        base = [f"b{i}" for i in range(150)]
+        texts = {i: edited(base, 1, rng) for i in range(n)}
+        made = []
+        keep = ngram_join.Scratch.written
+        monkeypatch.setattr(ngram_join.Scratch, "written", lambda self, df, name, made=made, keep=keep: (out := keep(self, df, name), made.append((name, out.count())))[0])
+        rows = ngram_join.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+        monkeypatch.setattr(ngram_join.Scratch, "written", keep)
+        assert {r["n_links"] for r in rows} == {n - 1}
+        counts[n] = max(k for name, k in made if name != "tries" and name != "edges")
+    assert counts[512] <= 5 * counts[128]
+
+
+def test_bundles():
+    rng = np.random.default_rng(2)
+    block = [(int(rng.integers(-(2**62), 2**62)), int(rng.integers(1, 9)), np.unique(rng.integers(0, 5000, int(rng.integers(1, 300)), dtype=np.uint64))) for _ in range(50)]
+    back = ngram_join.unbundled(ngram_join.bundled(block))
+    assert [x[:2] for x in back] == [x[:2] for x in block] and all((x[2] == y[2]).all() for x, y in zip(back, block))
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(90)] + [(5000, i) for i in range(5001, 5200)]
@@ -195,6 +270,42 @@ def test_op10_odd_rows(spark):
     assert len(other) == 4 and [r["component_id"] for r in other if r["vec_id"] is None] == [None]
 
 
+def test_neighbours_in_a_small_subspace(spark):
+    """Vectors of 64 dimensions that lie in four: neighbours at the threshold are found there too."""
+    rng = np.random.default_rng(11)
+    base = embeddings.unit_vectors(rng.normal(size=(1500, 4)))
+    way = rng.normal(size=base.shape)
+    way = embeddings.unit_vectors(way - (way * base).sum(1, keepdims=True) * base)
+    x = np.concatenate([base, 0.952 * base + np.sqrt(1 - 0.952**2) * way]) @ np.linalg.qr(rng.normal(size=(64, 4)))[0].T
+    vectors = {i: v.tolist() for i, v in enumerate(x)}
+    rows = embeddings.near_duplicates(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")).collect()
+    links = plain_vectors(vectors)
+    assert 0.995 * len(links) <= sum(r["n_links"] for r in rows) / 2 <= len(links)
+
+
+def test_two_levels_of_lists(spark, monkeypatch):
+    """More lists than first-level centroids: every list number stands for a sum of two, and neighbours are found."""
+    monkeypatch.setattr(embeddings, "CENTROIDS", 6)
+    rng = np.random.default_rng(12)
+    x = embeddings.unit_vectors(rng.normal(size=(900, 16)))
+    index = embeddings.Index.fit(x, 30)
+    assert index.lists == 30
+    at, _, _, visits = index.encode(x)
+    all_centroids = index.centroids(np.arange(index.lists))
+    d = embeddings.distances(x, all_centroids)
+    assert (np.take_along_axis(d, at[:, None], 1)[:, 0] <= d.min(1) + 1e-9).all() and all((v > a).all() for v, a in zip(visits, at))
+    vectors = {i: v.tolist() for i, v in enumerate(np.concatenate([x, x + 0.02 * rng.normal(size=x.shape)]))}
+    rows = embeddings.near_duplicates(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>")).collect()
+    links = plain_vectors({i: np.array(v, np.float32).astype(float).tolist() for i, v in vectors.items()})
+    assert len(links) >= 900 and 0.999 * len(links) <= sum(r["n_links"] for r in rows) / 2 <= len(links)
+
+
+def test_repeated_vector_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (2, [5.0, 0.0])]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 0, 1), (1, 2, 1), (2, 2, 1), (2, 2, 1)]
+
+
 def test_vectors_of_several_lengths(spark, monkeypatch):
     """Near pairs and scaled copies of every length are found: two lengths with an index each, and rare ones without."""
     monkeypatch.setattr(embeddings, "LEAST", 100)
@@ -225,7 +336,7 @@ def test_lookup_bounds_true_distance(dimension):
     rng = np.random.default_rng(0)
     x = embeddings.unit_vectors(rng.normal(size=(500, dimension)))
     index = embeddings.Index.fit(x, 8)
-    at, codes, error = index.encode(x)
+    at, codes, error, _ = index.encode(x)
     for k in range(8):
         mine = np.flatnonzero(at == k)
         d = index.lookup(x[:50], k, codes[mine])

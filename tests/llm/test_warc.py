@@ -76,3 +76,56 @@ def test_empty(spark, tmp_path):
     path = str(tmp_path / "w")
     warc.write_pages(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert warc.read(spark, path).count() == 0
+
+
+def test_malformed_messages(spark, tmp_path):
+    """Whatever a record's block holds, it is the bytes that content-length tells, and the next record comes whole."""
+    def block(data, kind=b"application/http; msgtype=response", end=b"\r\n"):
+        head = [b"WARC/1.0", b"WARC-Type: response", b"WARC-Record-ID: <x>", b"Content-Type: " + kind, b"Content-Length: %d" % len(data)]
+        return end.join(head) + end * 2 + data + end * 2
+
+    good = warc.record_bytes({"warc_type": "response", "record_id": "<y>", "payload": b"good"})
+    cases = [(b"HTTP/1.1 200 OK\r\nContent-Length: 9", None), (b"HTTP/1.1 200 OK\nA: b\n\nbody", b"body"), (b"HTTP/1.1 200 OK\r\n\r\n", b""), (b"", b""), (b"x" * 200_000, None)]
+    for end in (b"\r\n", b"\n"):
+        plain = b"".join(block(data, end=end) + good for data, _ in cases)
+        for name, body in (("a.warc", plain), ("b.warc.gz", gzip.compress(plain)), ("c.warc.gz", b"".join(map(warc.member, [block(d, end=end) for d, _ in cases] + [good])))):
+            (tmp_path / name).write_bytes(body)
+            rows = list(warc.records(io.BytesIO(body), name.endswith("gz"), {"payload", "payload_bytes", "digest_ok"}, lambda r: True))
+            mine = [r for r in rows if r["record_id"] == "<x>"]
+            assert [(r["payload"], r["payload_bytes"]) for r in mine] == [(p if p is not None else d, len(p if p is not None else d)) for d, p in cases]
+            assert all(r["digest_ok"] is None for r in mine)
+            assert [(r["payload"], r["digest_ok"]) for r in rows if r["record_id"] == "<y>"] == [(b"good", True)] * (1 if name.startswith("c") else len(cases))
+            for wanted in (set(), {"payload_bytes"}):
+                assert len(list(warc.records(io.BytesIO(body), name.endswith("gz"), wanted, lambda r: True))) == len(rows)
+    wrong = good.replace(b"good", b"evil")
+    assert [r["digest_ok"] for r in warc.records(io.BytesIO(wrong), False, {"digest_ok"}, lambda r: True)] == [False]
+    with pytest.raises(ValueError):
+        list(warc.records(io.BytesIO(b"no record\r\n\r\n"), False, set(), lambda r: True))
+
+
+def test_several_records_in_a_member_with_a_length():
+    """A seek to the next member needs the record to be all of it."""
+    rows = [warc.record_bytes({"warc_type": "response", "record_id": f"<{i}>", "payload": b"p" * 50 * i}) for i in range(3)]
+    body = warc.member(b"".join(rows)) + warc.member(rows[0])
+    got = [r["record_id"] for r in warc.records(io.BytesIO(body), True, set(), lambda r: r["record_id"] != "<1>")]
+    assert got == ["<0>", "<2>", "<0>"]
+
+
+def test_overwrite(spark, pages, tmp_path):
+    """The new manifest replaces the old one at once, whether or not the old files go."""
+    path = str(tmp_path / "w")
+    warc.write_pages(pages, path)
+    kept = {f.name: f.read_bytes() for f in (tmp_path / "w").iterdir()}
+    warc.page_records(pages.where("page_id = 4")).write.format("warc").mode("overwrite").save(path)
+    assert [r["record_id"] for r in warc.read(spark, path, ["record_id"]).collect()] == ["<urn:page:4>"] and not kept.keys() & {f.name for f in (tmp_path / "w").iterdir()}
+    for name, data in kept.items():  # as after a crash before they were deleted
+        (tmp_path / "w" / name).write_bytes(data)
+    assert [r["record_id"] for r in warc.read(spark, path, ["record_id"]).collect()] == ["<urn:page:4>"]
+
+
+def test_hot_payloads(pages, monkeypatch):
+    """A payload of many pages learns its first page by a broadcast, to the same rows."""
+    want = sorted(map(repr, warc.page_records(pages).collect()))
+    for hot in (2, 3):
+        monkeypatch.setattr(warc, "HOT", hot)
+        assert sorted(map(repr, warc.page_records(pages).collect())) == want

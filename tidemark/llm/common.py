@@ -82,7 +82,7 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def ranked(df: DataFrame, order: list[Column | str], rank: str = "rank") -> DataFrame:
+def ranked(df: DataFrame, order: list[Column | str], scratch: Scratch, rank: str = "rank") -> DataFrame:
     """df with a gapless long column `rank` that numbers all rows from 0 in the given order.
 
     One range shuffle and a sort inside partitions; no window over an unbounded group. The sorted rows
@@ -91,7 +91,7 @@ def ranked(df: DataFrame, order: list[Column | str], rank: str = "rank") -> Data
     """
     spark = df.sparkSession
     own = F.monotonically_increasing_id()
-    rows = written(
+    rows = scratch.written(
         df.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).withColumn("_place", own),
         "ranked",
     )

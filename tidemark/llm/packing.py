@@ -56,7 +56,10 @@ class Encoder:
             ranks = {bytes(letters[c] for c in w): i for w, i in model["vocab"].items() if w not in self.added}
             merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
             ids = [model["vocab"].get(a + b) for a, b in merges]
-            if None not in ids and all(x < y for x, y in zip(ids, ids[1:])):
+            # Every entry must be a byte or what merging two gives, in order of rank: tiktoken takes a piece that is an
+            # entry whole, whether or not merges lead to it.
+            whole = {bytes([b]) for b in range(256)} | {bytes(letters[c] for c in a + b) for a, b in merges}
+            if None not in ids and all(x < y for x, y in zip(ids, ids[1:])) and ranks.keys() <= whole:
                 self.fast = tiktoken.Encoding("plain", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import Scratch, hashed_sample, shuffle_partitions, slices
 from tidemark.llm.trees import Forest, fit
 
 #: Most labelled rows to learn from: those of least hash of doc_id.
@@ -65,20 +65,21 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
     return F.crc32(id_col.cast("string")) % folds == fold
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, out: Column, most: int) -> DataFrame:
-    """doc_id, label, text of labelled rows that aren't held out: of at most `most` ids, those of least hash.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, out: Column, most: int, scratch: Scratch) -> DataFrame:
+    """doc_id, label, text of labelled documents that aren't held out: at most `most` ids and `most` rows, those of least
+    hash. A written table.
 
-    Null labels and ids are left out; an id with several labels counts as 1 if any of them is. The ids are
-    broadcast: their number is bounded.
+    Null labels and ids are left out; an id with several labels counts as 1 if any of them is. Rows alike in id and text
+    count once; an id with several texts gives a row each. The ids are broadcast: their number is bounded.
     """
     picked = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~out)
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.max(F.col(label).cast("int")).alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(most)
     )
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")
+    picked = scratch.written(hashed_sample(scratch.written(picked, "labels"), ["doc_id"], most), "ids")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")
+    return scratch.written(hashed_sample(scratch.written(rows.distinct(), "rows"), ["doc_id", "text"], most).repartition(shuffle_partitions(docs.sparkSession)), "sample")
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,8 +90,11 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, out: Column, most: int = SAMPLE) -> Forest:
     """Learn `quality` from at most `most` labelled rows that `out` doesn't hold out; only their statistics reach
-    the driver. Without labels every score is one half."""
-    rows = labelled_sample(docs, labels, "quality", out, most).mapInArrow(_measured, "doc_id long, label int, x array<double>").collect()
+    the driver. Without labels every score is one half. Empty and null texts count as empty ones, which have all statistics
+    zero; see labelled_sample on repeated rows and labels."""
+    with Scratch(docs.sparkSession) as scratch:
+        sample = labelled_sample(docs, labels, "quality", out, most, scratch)
+        rows = sample.mapInArrow(_measured, "doc_id long, label int, x array<double>").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     x = np.array([r["x"] for r in rows], float).reshape(len(rows), -1 if rows else 32)
     return fit(x, np.array([r["label"] for r in rows], float))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ranked, small, written
+from tidemark.llm.common import Scratch, ranked, small, written
 
 #: Sizes below 2**(MANTISSA + 1) are exact classes; above, a class is a size rounded up to MANTISSA leading bits.
 MANTISSA = 14
@@ -203,15 +203,19 @@ def shard(
     ids are kept; columns other than the two named are ignored.
 
     Cost: one scan of the texts; then digests only: one aggregation, two range shuffles, and a join on the
-    digest of which Spark may split hot keys.
+    digest, whose hot keys are left to Spark's skew handling: rows there are some 60 bytes. The result is a written table.
     """
     if (shards is None) == (capacity is None):
         raise ValueError("give shards or capacity")
-    spark = docs.sparkSession
-    keys = written(document_keys(docs, id_col, text_col), "keys")
+    with Scratch(docs.sparkSession) as scratch:
+        return written(_placed(scratch.written(document_keys(docs, id_col, text_col), "keys"), shards, capacity, scratch), "shards")
+
+
+def _placed(keys: DataFrame, shards: int | None, capacity: int | None, scratch: Scratch) -> DataFrame:
+    spark = keys.sparkSession
     groups = keys.groupBy("digest").agg(F.sum("size").alias("bytes"))
-    groups = ranked(groups.withColumn("class", size_class("bytes")), [F.desc("class"), F.asc("digest")])
-    groups = written(groups.select("digest", "class", "rank"), "groups")
+    groups = ranked(groups.withColumn("class", size_class("bytes")), [F.desc("class"), F.asc("digest")], scratch)
+    groups = scratch.written(groups.select("digest", "class", "rank"), "groups")
     sizes = sorted(((r["class"], r["count"]) for r in groups.groupBy("class").count().collect()), reverse=True)
     runs = balanced(sizes, shards) if shards else best_fit_decreasing(sizes, capacity)[0]
     runs = sorted(runs, key=lambda r: -r[0])  # stable: the order of ranks, which is by class from the largest
@@ -225,7 +229,7 @@ def shard(
             yield pa.record_batch([b.column("digest"), pa.array(bins[at])], names=["digest", "shard"])
 
     placed = groups.select("digest", "rank").mapInArrow(place, "digest binary, shard int")
-    rows = ranked(keys.join(placed, "digest"), [F.asc("shard"), F.asc("digest"), F.asc("doc_id")])
+    rows = ranked(keys.join(placed, "digest"), [F.asc("shard"), F.asc("digest"), F.asc("doc_id")], scratch)
     counts = sorted((r["shard"], r["count"]) for r in rows.groupBy("shard").count().collect())
     base, total = [], 0
     for s, n in counts:

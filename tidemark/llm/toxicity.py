@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, words_of, written
+from tidemark.llm.common import Scratch, slices, words_of
 from tidemark.llm.quality import labelled_sample
 from tidemark.llm.trees import Forest, Isotonic, fit
 
@@ -58,12 +58,9 @@ def features(text: str | None, lexicon: dict[bytes, float], memo: dict[bytes, fl
     n = max(1, len(words))
     if len(memo) > 500_000:
         memo.clear()
-    w = np.empty(len(words))
-    for i, word in enumerate(words):
-        x = memo.get(word)
-        if x is None:
-            x = memo[word] = weight(word, lexicon)
-        w[i] = x
+    for word in set(words).difference(memo):
+        memo[word] = weight(word, lexicon)
+    w = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
     flagged = np.flatnonzero(w >= 1.5)
     persons = np.array([i for i, word in enumerate(words) if word in SECOND_PERSON]) if SECOND_PERSON.intersection(words) else np.zeros(0, int)
     near = 0
@@ -138,21 +135,24 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, out: Column, most: int = SAMPLE) -> Model:
     """Learn `toxic` from at most `most` labelled rows that `out` doesn't hold out. Term counts are gathered by an
     aggregation; lexicons (TERMS each) and the rows' features reach the driver. Without labels, or without
-    toxic ones, all scores are low."""
-    spark = docs.sparkSession
-    sample = written(labelled_sample(docs, labels, "toxic", out, most), "sample")
+    toxic ones, all scores are low. Null texts count as empty ones; see labelled_sample on repeated rows and labels."""
+    with Scratch(docs.sparkSession) as scratch:
+        return _trained(labelled_sample(docs, labels, "toxic", out, most, scratch), scratch)
+
+
+def _trained(sample: DataFrame, scratch: Scratch) -> Model:
     sizes = {(r["half"], r["label"]): r["count"] for r in sample.groupBy(F.pmod("doc_id", F.lit(2)).alias("half"), "label").count().collect()}
     n = {(h, y): sizes.get((h, y), 0) for h in (0, 1) for y in (0, 1)}
     rows = sample.mapInArrow(_counted, "term binary, a0 long, a1 long, b0 long, b1 long")
     counts = rows.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("a0", "a1", "b0", "b1"))).where(F.col("a1") + F.col("b1") >= LEAST_ROWS)
-    counts = written(counts, "terms")
+    counts = scratch.written(counts, "terms")
     a0, a1, b0, b1 = (F.col(c) for c in ("a0", "a1", "b0", "b1"))
     lexicons = [
         _lexicon(counts, n[1, 0], n[1, 1], b0, b1),  # for the even half, from the odd one
         _lexicon(counts, n[0, 0], n[0, 1], a0, a1),
         _lexicon(counts, n[0, 0] + n[1, 0], n[0, 1] + n[1, 1], a0 + b0, a1 + b1),
     ]
-    shared = spark.sparkContext.broadcast(lexicons)
+    shared = sample.sparkSession.sparkContext.broadcast(lexicons)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memos: list[dict] = [{}, {}]
@@ -200,7 +200,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is below the threshold."""
+    """The rows of docs, with all their columns, whose score is below the threshold. Null and empty texts score as texts
+    without any word; repeated rows are judged each and alike; an empty table stays empty. One scan, no shuffle."""
     scores = scorer(docs.sparkSession, model)
     at = docs.columns.index("text")
 

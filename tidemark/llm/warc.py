@@ -6,7 +6,8 @@ passes and the schema asks for it. Compressed archives hold one gzip member a re
 compressed length in an `sl` extra field, so that a reader can seek past it.
 
 Writing: each task writes archives of bounded size under names of its own; the driver's commit lists them in a
-manifest, and readers go by the manifests, so a lost task or a second attempt leaves nothing visible.
+manifest, and readers go by the manifests, so a lost task or a second attempt leaves nothing visible. An overwriting
+commit's manifest names those that it replaces: from then on they don't count, whether or not they are deleted yet.
 
 Paths may be file:, hdfs:, s3: or whatever else pyarrow.fs resolves.
 """
@@ -32,9 +33,11 @@ from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.llm.common import small, written
+
 SCHEMA = (
     "warc_type string, record_id string, warc_date string, target_uri string, refers_to string, "
-    "payload_digest string, payload_bytes long, headers map<string,string>, payload binary"
+    "payload_digest string, payload_bytes long, headers map<string,string>, payload binary, digest_ok boolean"
 )
 #: Columns that stand in the WARC header, with its field names.
 FIELDS = {
@@ -45,10 +48,14 @@ FIELDS = {
     "refers_to": "warc-refers-to",
     "payload_digest": "warc-payload-digest",
 }
+#: An empty line: the end of a head.
+BLANK = re.compile(rb"\r?\n\r?\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARROW = pa.schema(
-    [(c, pa.string()) for c in FIELDS] + [("payload_bytes", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())]
+    [(c, pa.string()) for c in FIELDS] + [("payload_bytes", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary()), ("digest_ok", pa.bool_())]
 )
+#: Columns for which a payload is decoded.
+DECODED = {"payload", "digest_ok"}
 #: Bytes after which a task starts another archive, and bytes of archives in a partition.
 FILE_BYTES = 128_000_000
 SPLIT_BYTES = 64_000_000
@@ -108,7 +115,7 @@ class _Source:
 
     def __init__(self, file, packed: bool):
         self.file, self.packed, self.buffer, self.done = file, packed, b"", False
-        self.unzip, self.raw, self.start, self.length = None, b"", 0, 0
+        self.unzip, self.raw, self.start, self.length, self.plain = None, b"", 0, 0, 0
 
     def _more(self) -> bool:
         """Add to the buffer; False at the end."""
@@ -137,24 +144,33 @@ class _Source:
             self.raw += self.file.read(1 << 14)
         if not self.raw:
             return False
-        self.start, self.length = self.file.tell() - len(self.raw), 0
+        self.start, self.length, self.plain = self.file.tell() - len(self.raw), 0, 0
         if self.raw[:4] == b"\x1f\x8b\x08\x04" and self.raw[12:14] == b"sl":
-            self.length = struct.unpack("<I", self.raw[16:20])[0]
+            self.length, self.plain = struct.unpack("<II", self.raw[16:24])
         self.unzip = zlib.decompressobj(31)
         return True
 
-    def head(self) -> bytes | None:
-        """Everything up to the next empty line."""
+    def head(self) -> tuple[bytes, int] | None:
+        """Everything up to the next empty line, and the bytes that it took with that line; None at the end."""
         while True:
-            while self.buffer[:2] == b"\r\n":
-                self.buffer = self.buffer[2:]
-            at = self.buffer.find(b"\r\n\r\n")
-            if at >= 0:
-                found, self.buffer = self.buffer[:at], self.buffer[at + 4 :]
-                return found
+            while self.buffer[:1] in (b"\r", b"\n"):
+                self.buffer = self.buffer.lstrip(b"\r\n")
+            if m := BLANK.search(self.buffer):
+                found, self.buffer = self.buffer[: m.start()], self.buffer[m.end() :]
+                return found, m.end()
             if not self._more():
                 return None
 
+    def http_head(self, n: int) -> tuple[bytes, int]:
+        """The head of an HTTP message in the next n bytes and the bytes that it takes; none if they hold no empty line."""
+        while not (m := BLANK.search(self.buffer[:n])) and len(self.buffer) < n:
+            if not self._more():
+                raise EOFError("an archive ends inside a record")
+        if not m:
+            return b"", 0
+        found, self.buffer = self.buffer[: m.start()], self.buffer[m.end() :]
+        return found, m.end()
+
     def take(self, n: int) -> bytes:
         parts, have = [self.buffer], len(self.buffer)
         while have < n:
@@ -167,9 +183,10 @@ class _Source:
         self.buffer = data[n:]
         return data[:n]
 
-    def skip(self, n: int) -> None:
-        """Leave out n bytes and the record's end, by a seek if the place of the next record is known."""
-        if self.packed and self.length:
+    def skip(self, n: int, record: int) -> None:
+        """Leave out n bytes; record: the bytes of the whole record with its end. If those are all of a member whose
+        compressed length is known, the next member is sought at once."""
+        if self.packed and self.length and self.plain == record:
             self.file.seek(self.start + self.length)
             self.unzip, self.raw, self.buffer = None, b"", b""
         elif not self.packed and n > len(self.buffer):
@@ -185,39 +202,49 @@ class _Source:
 
 
 def parsed(head: bytes) -> dict[str, str]:
-    lines = head.decode("utf-8", "replace").split("\r\n")
+    lines = re.split("\r?\n", head.decode("utf-8", "replace"))
     if not lines[0].startswith("WARC/"):
         raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
 def records(file, packed: bool, wanted: set[str], passes) -> Iterator[dict]:
-    """Records whose header passes; only wanted columns are decoded."""
+    """Records whose header passes; only wanted columns are decoded.
+
+    A record is the bytes that its content-length tells, whatever they are. An HTTP message without an empty line among
+    them has no head, and all of them are its payload; lines may end in LF alone. A record without a content-length
+    is empty. An archive that ends inside a record, or goes on with something else than a record, is an error.
+    """
     source = _Source(file, packed)
-    while (head := source.head()) is not None:
+    while (found := source.head()) is not None:
+        head, taken = found
         fields = parsed(head)
         n = int(fields.get("content-length", 0))
+        whole = taken + n + 4
         row = {c: fields.get(f) for c, f in FIELDS.items()}
         if row["payload_digest"]:
             row["payload_digest"] = row["payload_digest"].removeprefix("sha1:")
         if not passes(row):
-            source.skip(n)
+            source.skip(n, whole)
             continue
         row["headers"] = list(fields.items()) if "headers" in wanted else None
-        if not wanted & {"payload", "payload_bytes"}:
-            source.skip(n)
+        if not wanted & {"payload_bytes", *DECODED}:
+            source.skip(n, whole)
             yield row
             continue
         http, size = b"", n
         if fields.get("content-type", "").startswith("application/http"):
-            http = source.head() or b""
-            size = n - len(http) - 4
-        length = re.search(rb"(?im)^content-length:\s*(\d+)", http)
+            http, before = source.http_head(n)
+            size = n - before
+        revisit = row["warc_type"] == "revisit"
+        length = re.search(rb"(?im)^content-length:\s*(\d+)", http) if revisit else None
         row["payload_bytes"] = int(length[1]) if length else size
-        if "payload" in wanted and row["warc_type"] != "revisit":
-            row["payload"] = source.take(size)
+        if wanted & DECODED and not revisit:
+            payload = source.take(size)
+            row["payload"] = payload if "payload" in wanted else None
+            row["digest_ok"] = digest_of(payload) == row["payload_digest"] if row["payload_digest"] else None
         else:
-            source.skip(size)
+            source.skip(size, whole)
         yield row
 
 
@@ -229,6 +256,14 @@ class Files(ds.InputPartition):
         self.paths = paths
 
 
+def _manifests(files: fs.FileSystem, paths: list[str]) -> tuple[list[str], set[str]]:
+    """The manifests among these paths that no other one replaces, and the archives that they list."""
+    read = {p: json.loads(files.open_input_file(p).readall()) for p in paths if re.search(r"(^|/)_manifest-[^/]*\.json$", p)}
+    gone = {name for m in read.values() for name in m["replaces"]}
+    now = [p for p in read if p.rsplit("/", 1)[-1] not in gone]
+    return now, {n for p in now for n in read[p]["archives"]}
+
+
 class WarcReader(ds.DataSourceReader):
     def __init__(self, schema: StructType, path: str):
         self.columns, self.path, self.tests = schema.names, path, []
@@ -258,8 +293,7 @@ class WarcReader(ds.DataSourceReader):
     def partitions(self) -> list[Files]:
         files, root = filesystem(self.path)
         found = {f.path: f.size for f in files.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file} if files.get_file_info(root).type == fs.FileType.Directory else {root: files.get_file_info(root).size}
-        manifests = [p for p in found if re.search(r"/_manifest-[^/]*\.json$", p)]
-        names = {n for p in manifests for n in json.loads(files.open_input_file(p).readall())}
+        manifests, names = _manifests(files, list(found))
         archives = sorted((p for p in found if re.search(r"\.warc(\.gz)?$", p) and (not manifests or p.rsplit("/", 1)[-1] in names)), key=lambda p: (-found[p], p))
         groups: list[list[str]] = []
         room = 0
@@ -326,12 +360,13 @@ class WarcWriter(ds.DataSourceArrowWriter):
         files, root = filesystem(self.path)
         files.create_dir(root, recursive=True)
         names = [n for m in messages if m for n in m.names]
-        if self.overwrite:
-            for f in files.get_file_info(fs.FileSelector(root)):
-                if f.is_file and f.base_name not in names:
-                    files.delete_file(f.path)
+        old = [f for f in files.get_file_info(fs.FileSelector(root)) if f.is_file and f.base_name not in names] if self.overwrite else []
+        replaced = [f.base_name for f in old if f.base_name.startswith("_manifest-")]
         with files.open_output_stream(f"{root}/_manifest-{uuid.uuid4().hex}.json") as out:
-            out.write(json.dumps(names).encode())
+            out.write(json.dumps({"archives": names, "replaces": replaced}).encode())
+        # Archives first: while a replaced manifest is there, so is the one that replaces it.
+        for f in sorted(old, key=lambda f: f.base_name in replaced):
+            files.delete_file(f.path)
 
     def abort(self, messages: list[Archives | None]) -> None:
         files, root = filesystem(self.path)
@@ -362,15 +397,21 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
 
 
+#: Pages with one payload from which on its first page is told by a broadcast; there are at most rows / HOT such payloads.
+HOT = 10_000
+
+
 def page_records(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """pages as WARC rows: of equal payloads of at least least_bytes the smallest page id is a response and the
     others revisit it; all smaller payloads are responses.
 
     A null html is an empty payload; a null url leaves the field out. Repeated rows of the page that the others
-    revisit are responses too. A page without an id revisits if another page with the same payload has one.
+    revisit are responses too. A page without an id revisits if another page with the same payload has one. An empty
+    table gives no rows; columns other than the three named are ignored.
 
-    Cost: an aggregation over digests and one join on them that carries the payloads; Spark may split its hot
-    keys.
+    Cost: an aggregation over digests. Payloads of HOT pages or more, such as empty and error pages, learn their first
+    page by a broadcast of so few rows that it is checked; the others by one join on the digest, which carries each
+    payload once.
     """
     body = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("target_uri"), body.alias("payload")).withColumn("digest", F.unhex(F.sha1("payload")))
@@ -379,14 +420,21 @@ def page_records(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id"
         .groupBy("digest")
         .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
         .where("n > 1 AND first IS NOT NULL")
-        .select("digest", "first")
     )
+    first = written(first, "first")
+    hot = first.where(F.col("n") >= HOT).select(F.col("digest").alias("hot_digest"), F.col("first").alias("hot_first"))
 
     def name(c: str):
         return F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
 
+    rows = rows.join(small(hot, n), rows["digest"] == hot["hot_digest"], "left") if (n := hot.count()) else rows.withColumn("hot_first", F.lit(None).cast("long"))
+    # Rows that know their first page get a key of their own, which matches nothing and spreads them.
+    key = F.when(F.col("hot_first").isNull(), F.col("digest")).otherwise(F.concat(F.unhex(F.hex(F.xxhash64("page_id", "target_uri"))), F.lit(b"hot")))
+    cold = first.where(F.col("n") < HOT).select(F.col("digest").alias("cold_digest"), F.col("first").alias("cold_first"))
+    joined = rows.withColumn("cold_key", key).join(cold, F.col("cold_key") == F.col("cold_digest"), "left")
+    joined = joined.withColumn("first", F.coalesce("hot_first", "cold_first"))
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
-    return rows.join(first, "digest", "left").select(
+    return joined.select(
         F.when(revisit, "revisit").otherwise("response").alias("warc_type"),
         name("page_id").alias("record_id"),
         F.lit("2024-01-01T00:00:00Z").alias("warc_date"),
@@ -402,12 +450,15 @@ def page_id_of(column: str):
 
 
 def write_pages(pages: DataFrame, path: str, least_bytes: int = 0, level: int = 6) -> None:
+    """Archives of all pages at a path (see page_records); those already there stay."""
     register(pages.sparkSession)
     page_records(pages, least_bytes).write.format("warc").mode("append").option("level", level).save(path)
 
 
 def read(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """The records of archives; with `columns`, only those are decoded."""
+    """The records of archives, malformed ones as `records` says; with `columns`, only those are decoded. payload_bytes is
+    the payload's own length, of a revisit the one that its HTTP header tells; digest_ok tells whether the payload has the
+    digest that the WARC header gives, null where there is no payload or no digest. A path without archives gives no rows."""
     register(spark)
     reader = spark.read.format("warc").option("path", path)
     if columns:

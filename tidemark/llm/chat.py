@@ -204,10 +204,10 @@ def rendered(role: str, text: str) -> str:
     return BEGIN.format(role=role) + text + END
 
 
-def fragments(lines: list[str], cuts: list[int], states: np.ndarray) -> list[tuple[str, str]]:
+def fragments(lines: list[str], cuts: list[int], states: np.ndarray, goes_on: bool = False) -> list[tuple[str, str]]:
     """(role, text) of the turns that these states part the lines into, without the markers. Lines that go on with another
-    role than the one before are a turn too."""
-    turns: list[tuple[str, list[str]]] = []
+    role than the one before are a turn too. goes_on: the first line belongs to a turn that began in an earlier piece."""
+    turns: list[tuple[str, list[str]]] = [(ROLES[states[0] // 2], [])] if goes_on else []
     for line, cut, state in zip(lines, cuts, states):
         if state % 2 == 0 or not turns or turns[-1][0] != ROLES[state // 2]:
             turns.append((ROLES[state // 2], [line[cut:]]))
@@ -271,8 +271,8 @@ def parse(transcripts: DataFrame, model: Hmm, id_col: str = "conv_id", text_col:
                 lines = (text or "").split("\n")
                 seen, cuts = observations(lines)
                 seen[0] = (seen[0][0], before, *seen[0][2:])
-                found = fragments(lines, cuts, shared.value.viterbi(seen, begins, ends))
                 goes_on = went is not None and begins % 2 == 1 and went // 2 == begins // 2
+                found = fragments(lines, cuts, shared.value.viterbi(seen, begins, ends), goes_on)
                 out.extend((conv, part, order, i - goes_on, len(found) - goes_on, role, x) for i, (role, x) in enumerate(found))
             yield batch_of(out, FRAGMENTS)
 

@@ -31,7 +31,7 @@ TREES, DEPTH = 32, 8
 #: Chance of every link, the worst included, to meet in a tree.
 RECALL = 0.9999
 #: Classes, and shingles on average, in a block of the verification.
-BLOCK, BLOCK_SHINGLES = 256, 1_000_000
+BLOCK, BLOCK_SHINGLES = 128, 1_000_000
 #: Shingles in a block's local vocabulary that are multiplied at once.
 COLUMNS = 4096
 

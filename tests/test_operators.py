@@ -137,7 +137,7 @@ def test_gap_fill_holds_totals(spark):
             self.config, self.spark, self.tbspc_daily = Config(), spark, a.unionByName(b)
 
     r = Reports(Some())
-    assert [x["used_total"] for x in r.total_filled().orderBy("day_dt").collect()] == [11, 12, 13, 44]
+    assert [x["all_bytes"] for x in r.total_filled().orderBy("day_dt").collect()] == [11, 12, 13, 44]
 
 
 def test_contracts(spark):
@@ -182,6 +182,41 @@ def test_config(spark, tmp_path):
         Config(mad_k=None)
 
 
+def test_versions_survive_a_lost_write(spark, tmp_path):
+    """A write that failed leaves a folder without a mark of success; the next one goes beside it."""
+    from tidemark.sources.versioned import VersionedTable
+
+    table = VersionedTable(spark, str(tmp_path / "t"), "x int")
+    table.write(spark.createDataFrame([(1,)], "x int"))
+    (tmp_path / "t" / "v00000001").mkdir()
+    assert table.read().count() == 1
+    table.write(spark.createDataFrame([(2,), (3,)], "x int"))
+    assert sorted(r["x"] for r in table.read().collect()) == [2, 3] and table.versions() == ["v00000000", "v00000002"]
+    table.vacuum()
+    assert sorted(f.name for f in (tmp_path / "t").iterdir()) == ["v00000002"] and table.read().count() == 2
+
+
+def test_shared_folder(spark):
+    """Where driver and executors are apart, an unset folder is an error; else there is one for the application."""
+    from types import SimpleNamespace
+
+    from tidemark.sources import shared
+
+    def session(master):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda folder: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,512]", "k8s://x"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared.shared_dir(session(master))
+    assert shared.shared_dir(session("local[4]")).startswith("file:/")
+    path = shared.shared_path(spark, "x")
+    assert spark.sparkContext.applicationId in path
+    spark.range(3).write.parquet(path)
+    shared.delete(spark, path)
+    shared.delete(spark, path)
+
+
 def test_smoothing():
     f = fit([3 + 2 * i for i in range(40)], 5)
     assert list(f.forecast) == pytest.approx([83, 85, 87, 89, 91]) and list(f.lower) == list(f.upper)
@@ -211,7 +246,20 @@ def test_alert_states(spark):
 
     a = {"kind": "TBSPC", "dbid": 1, "con_dbid": 1, "label": "A&B", "days": 5, "severity": 2}
     assert "crit" in html.banner([a], 0, Config(), False) and "A&amp;B" in html.banner([a], 1, Config(), False)
-    assert "All clear" in html.banner([], 2, Config(), False)
+    both = html.banner([a | {"severity": 1}, a | {"kind": "CPU", "label": "Host CPU", "days": 2, "severity": 1}], 0, Config(), True)
+    assert "warn" in both and "2 limits" in both and both.index("Host CPU [1]") < both.index("A&amp;B")
+    assert "No limit" in html.banner([], 2, Config(), False) and "2 flagged days" in html.banner([], 2, Config(), False)
+
+
+def test_timeline():
+    from tidemark.render import html
+
+    key = {"kind": "CPU", "dbid": 1, "con_dbid": 1, "label": "Host <CPU>"}
+    bounds = {"min_day": dt.date(2024, 1, 1), "max_day": dt.date(2024, 1, 11)}
+    point = key | {"day_dt": dt.date(2024, 1, 6), "busy_pct": 71.4, "median_pct": None}
+    strip = html.timeline([key | {"n_lanes": 3}], [point], bounds)
+    assert "left:50.0%" in strip and "Host &lt;CPU&gt;" in strip and "2 further series" in strip and "load 71 %" in strip
+    assert "no days" in html.timeline([], [], {"min_day": None, "max_day": None}) and "flagged" in html.timeline([], [], bounds)
 
 
 def test_phrases():
@@ -220,7 +268,11 @@ def test_phrases():
     assert [p.time_phrase(d) for d in (None, 0, 1, 59, 90, 730, 500)] == ["an unknown time", "less than a day", "about 1 day", "about 59 days", "about 3 months", "about 2 years", "about 1.4 years"]
     assert (p.size_phrase(2048), p.size_phrase(1.25), p.nz(None), p.pct_of(5, 0), p.pct_of(30, 10)) == ("2.00 TB", "1.2 GB", "–", None, 100.0)
     assert p.lin(1, 2, 2, 0, 10) == 5 and "circle" in p.polyline([(1, 2)], "x")
-    assert "10x" not in p.growth_tip(dt.date(2024, 1, 1), 2**30, 30, 4) and "about 7.5x" in p.growth_tip(dt.date(2024, 1, 1), 2**30, 30, 4)
+    day = dt.date(2024, 1, 1)
+    notes = [p.growth_note(day, change, pace, median) for change, pace, median in ((2**30, 30, 4), (2**30, 50, 4), (2**30, 1, 4), (-(2**31), -5, 4), (2**30, 5, 0), (None, None, None))]
+    want = ["+1.0 GB; 7.5 times", "+1.0 GB; 12 times", "+1.0 GB; 25% of", "-2.0 GB", "+1.0 GB; the median pace is none", "+0.0 GB; the median pace is none"]
+    assert all(w in n for w, n in zip(want, notes)) and notes[3] == "2024-01-01: -2.0 GB"
+    assert p.busy_note(day, 70.4, 40) == "2024-01-01: load 70 %; this weekday's median is 40 %"
 
 
 def test_ingest(spark, tmp_path):

@@ -6,7 +6,6 @@ import dataclasses
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.sources.versioned import VersionedTable
 
@@ -86,7 +85,3 @@ class ConfigStore:
         if missing := [n for n in names if stored.get(n) is None]:
             raise ValueError(f"knobs missing from the store: {missing}")
         return Config(**{n: int(stored[n]) if kinds[n] == "int" else stored[n] for n in names}, **presentation)
-
-
-def config_frame(spark: SparkSession, config: Config) -> DataFrame:
-    return spark.createDataFrame(config.rows(), SCHEMA).orderBy(F.col("cfg_name"))

@@ -15,7 +15,7 @@ CONTAINER = ["dbid", "con_dbid"]
 
 def snap_time(snapshot: DataFrame) -> DataFrame:
     """The earliest end of each snapshot over all instances."""
-    return snapshot.groupBy("dbid", "snap_id").agg(F.min("end_interval_time").alias("eit"))
+    return snapshot.groupBy("dbid", "snap_id").agg(F.min("end_interval_time").alias("ended_at"))
 
 
 def block_sizes(datafile: DataFrame) -> DataFrame:
@@ -34,11 +34,11 @@ def tbspc_daily(seam: Seam) -> DataFrame:
     dim = seam.tablespace.where(~F.col("contents").isin("UNDO", "TEMPORARY"))
     dim = dim.join(block_sizes(seam.datafile), key, "left").withColumn("block_size", F.coalesce("block_size", "file_block_size"))
     dim = dim.where(F.col("block_size").isNotNull()).select(*key, "tablespace_name", "block_size")
-    usage = seam.tbspc_usage.join(dim, key).join(snap_time(seam.snapshot), ["dbid", "snap_id"]).withColumn("day_dt", F.to_date("eit"))
+    usage = seam.tbspc_usage.join(dim, key).join(snap_time(seam.snapshot), ["dbid", "snap_id"]).withColumn("day_dt", F.to_date("ended_at"))
     last = usage.groupBy(*key, "tablespace_name", "block_size", "day_dt").agg(
-        keep_last("tablespace_usedsize", "eit").alias("used_blocks"),
-        keep_last("tablespace_size", "eit").alias("size_blocks"),
-        keep_last("tablespace_maxsize", "eit").alias("max_blocks"),
+        keep_last("tablespace_usedsize", "ended_at").alias("used_blocks"),
+        keep_last("tablespace_size", "ended_at").alias("size_blocks"),
+        keep_last("tablespace_maxsize", "ended_at").alias("max_blocks"),
         F.count("*").alias("n_samples"),
     )
     limit = F.when(F.col("max_blocks") > 0, F.col("max_blocks")).otherwise(F.col("size_blocks"))

@@ -65,14 +65,17 @@ def _run(y: np.ndarray, p: np.ndarray, season: int) -> tuple[np.ndarray, np.ndar
     return out, level, trend, s
 
 
-def fit(y: np.ndarray, steps: int, season: int = 0) -> Fitted:
-    """The parameters of least squared one-step error over a grid, refined around the best; deterministic."""
+def fit(y: np.ndarray, steps: int, season: int = 0, rates: tuple[float, float, float] | None = None) -> Fitted:
+    """The parameters of least squared one-step error over a grid, refined around the best; deterministic. Given rates
+    of level, trend and season are taken as they are."""
     y = np.asarray(y, float)
     if len(y) < (2 * season if season else 2):
         raise ValueError(f"{len(y)} days are too few")
     centre, width = None, None
     best: tuple | None = None
-    for _ in range(5):
+    if rates:
+        best = (0.0, rates if season else (*rates[:2], 0.0))
+    for _ in range(0 if rates else 5):
         axes = [GRID if centre is None else np.clip(np.array([-1, -0.5, 0, 0.5, 1]) * width + c, 0.0, 1.0) for c in (centre or (0, 0, 0))]
         if not season:
             axes[2] = np.zeros(1)
@@ -115,7 +118,7 @@ def model_name(kind_column: str = "series_kind"):
     return F.concat(prefix, F.lit("_"), F.substring(F.upper(F.md5(identity)), 1, 16))
 
 
-def fit_all(series: DataFrame, step: int) -> DataFrame:
+def fit_all(series: DataFrame, step: int, rates: tuple[float, float, float] | None = None) -> DataFrame:
     """series: series_kind, dbid, con_dbid, series_key, day_dt, val. One group is one series: its days. Returns each
     model's row repeated for each forecast row; a series that can't be fitted has one row and a FAILED status, and
     never stops the others."""
@@ -135,7 +138,7 @@ def fit_all(series: DataFrame, step: int) -> DataFrame:
                 raise ValueError("no days")
             days, y, known = on_daily_grid(part["day_dt"], part["val"])
             steps = horizon(len(part), step)
-            f = fit(y, steps, season)
+            f = fit(y, steps, season, rates)
             rows = [(d.date(), v if k else None, p, None, None) for d, v, k, p in zip(days, y, known, f.predictions) if k]
             future = [(days[-1] + pd.Timedelta(days=h + 1)).date() for h in range(steps)]
             rows += [(d, None, p, lo, hi) for d, p, lo, hi in zip(future, f.forecast, f.lower, f.upper)]

@@ -13,8 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.config import Config
+from tidemark.config import Config, ConfigStore
 from tidemark.operators import daily
+from tidemark.operators.smoothing import fit_all
 from tidemark.plans import compare as comparing
 from tidemark.plans.engine import Engine
 from tidemark.plans.reports import Reports
@@ -150,18 +151,18 @@ CTES = {
       UNION ALL SELECT 2, 101, instance_number, snap_id, 'NUM_CPU_CORES', 2 FROM counters WHERE instance_number = 1""",
     "capv_time_model": """SELECT CAST(2 AS BIGINT) AS dbid, CAST(101 AS BIGINT) AS con_dbid, CAST(instance_number AS BIGINT) AS instance_number, snap_id, 'DB CPU' AS stat_name, db_cpu AS value FROM counters
       UNION ALL SELECT 2, 101, instance_number, snap_id, 'DB time', db_time FROM counters UNION ALL SELECT 2, 101, instance_number, snap_id, 'background cpu time', bg FROM counters""",
-    "snap_time": "SELECT dbid, snap_id, min(end_interval_time) AS eit FROM capv_snapshot GROUP BY dbid, snap_id",
-    "bsize": "SELECT dbid, con_dbid, tablespace_id, max(block_size) AS file_block_size FROM capv_datafile GROUP BY ALL",
-    "usg": "SELECT u.*, s.eit, CAST(s.eit AS DATE) AS day_dt FROM capv_tbspc_usage u JOIN snap_time s ON s.dbid = u.dbid AND s.snap_id = u.snap_id",
-    "last_of_day": """SELECT u.dbid, u.con_dbid, u.tablespace_id, u.day_dt, max(CASE WHEN u.eit = m.eit THEN u.tablespace_usedsize END) AS used_blocks,
-        max(CASE WHEN u.eit = m.eit THEN u.tablespace_size END) AS size_blocks, max(CASE WHEN u.eit = m.eit THEN u.tablespace_maxsize END) AS max_blocks, count(*) AS n_samples
-      FROM usg u JOIN (SELECT dbid, con_dbid, tablespace_id, day_dt, max(eit) AS eit FROM usg GROUP BY ALL) m
+    "snap_time": "SELECT dbid, snap_id, min(end_interval_time) AS ended_at FROM capv_snapshot GROUP BY dbid, snap_id",
+    "file_blocks": "SELECT dbid, con_dbid, tablespace_id, max(block_size) AS file_block_size FROM capv_datafile GROUP BY ALL",
+    "sized_usage": "SELECT u.*, s.ended_at, CAST(s.ended_at AS DATE) AS day_dt FROM capv_tbspc_usage u JOIN snap_time s ON s.dbid = u.dbid AND s.snap_id = u.snap_id",
+    "day_end": """SELECT u.dbid, u.con_dbid, u.tablespace_id, u.day_dt, max(CASE WHEN u.ended_at = m.ended_at THEN u.tablespace_usedsize END) AS used_blocks,
+        max(CASE WHEN u.ended_at = m.ended_at THEN u.tablespace_size END) AS size_blocks, max(CASE WHEN u.ended_at = m.ended_at THEN u.tablespace_maxsize END) AS max_blocks, count(*) AS n_samples
+      FROM sized_usage u JOIN (SELECT dbid, con_dbid, tablespace_id, day_dt, max(ended_at) AS ended_at FROM sized_usage GROUP BY ALL) m
         ON m.dbid = u.dbid AND m.con_dbid = u.con_dbid AND m.tablespace_id = u.tablespace_id AND m.day_dt = u.day_dt GROUP BY 1, 2, 3, 4""",
     "tbspc_daily": """SELECT l.dbid, l.con_dbid, l.tablespace_id, t.tablespace_name, l.day_dt, l.used_blocks * coalesce(t.block_size, b.file_block_size) AS used_bytes,
         l.size_blocks * coalesce(t.block_size, b.file_block_size) AS size_bytes,
         CASE WHEN l.max_blocks > 0 THEN l.max_blocks ELSE l.size_blocks END * coalesce(t.block_size, b.file_block_size) AS limit_bytes, l.n_samples
-      FROM last_of_day l JOIN capv_tablespace t ON t.dbid = l.dbid AND t.con_dbid = l.con_dbid AND t.tablespace_id = l.tablespace_id
-        LEFT JOIN bsize b ON b.dbid = l.dbid AND b.con_dbid = l.con_dbid AND b.tablespace_id = l.tablespace_id
+      FROM day_end l JOIN capv_tablespace t ON t.dbid = l.dbid AND t.con_dbid = l.con_dbid AND t.tablespace_id = l.tablespace_id
+        LEFT JOIN file_blocks b ON b.dbid = l.dbid AND b.con_dbid = l.con_dbid AND b.tablespace_id = l.tablespace_id
       WHERE t.contents NOT IN ('UNDO', 'TEMPORARY') AND coalesce(t.block_size, b.file_block_size) IS NOT NULL""",
     "before": """SELECT c.dbid, c.con_dbid, c.tablespace_name, c.tablespace_id, c.day_dt, max(p.day_dt) AS prev FROM tbspc_daily c
       LEFT JOIN tbspc_daily p ON p.dbid = c.dbid AND p.con_dbid = c.con_dbid AND p.tablespace_name = c.tablespace_name AND p.day_dt < c.day_dt GROUP BY ALL""",
@@ -227,12 +228,12 @@ CTES = {
     "grid": """SELECT d.dbid, d.con_dbid, d.day_dt, t.tablespace_name FROM (SELECT DISTINCT dbid, con_dbid, day_dt FROM tbspc_daily) d
       JOIN (SELECT DISTINCT dbid, con_dbid, tablespace_name FROM tbspc_daily) t ON t.dbid = d.dbid AND t.con_dbid = d.con_dbid""",
     "filled": """SELECT g.dbid, g.con_dbid, g.day_dt, last_value(f.used_bytes IGNORE NULLS) OVER (PARTITION BY g.dbid, g.con_dbid, g.tablespace_name ORDER BY g.day_dt
-        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used_fill
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried_bytes
       FROM grid g LEFT JOIN tbspc_daily f ON f.dbid = g.dbid AND f.con_dbid = g.con_dbid AND f.tablespace_name = g.tablespace_name AND f.day_dt = g.day_dt""",
-    "total_filled": "SELECT dbid, con_dbid, day_dt, CAST(sum(used_fill) AS BIGINT) AS used_total FROM filled GROUP BY ALL",
-    "whole_fit": _fit("total_filled", "dbid, con_dbid", "used_total"),
-    "day_totals": "SELECT dbid, con_dbid, day_dt, CAST(sum(used_bytes) AS BIGINT) AS used_total, CAST(sum(limit_bytes) AS BIGINT) AS limit_total, CASE WHEN count(*) = count(limit_bytes) THEN 1 ELSE 0 END AS all_known FROM tbspc_daily GROUP BY 1, 2, 3",
-    "current_totals": """SELECT t.dbid, t.con_dbid, t.used_total AS cur_used, t.limit_total AS cur_limit, t.all_known AS limit_all FROM day_totals t
+    "total_filled": "SELECT dbid, con_dbid, day_dt, CAST(sum(carried_bytes) AS BIGINT) AS all_bytes FROM filled GROUP BY ALL",
+    "whole_fit": _fit("total_filled", "dbid, con_dbid", "all_bytes"),
+    "day_totals": "SELECT dbid, con_dbid, day_dt, CAST(sum(used_bytes) AS BIGINT) AS all_bytes, CAST(sum(limit_bytes) AS BIGINT) AS limit_total, CASE WHEN count(*) = count(limit_bytes) THEN 1 ELSE 0 END AS all_known FROM tbspc_daily GROUP BY 1, 2, 3",
+    "current_totals": """SELECT t.dbid, t.con_dbid, t.all_bytes AS cur_used, t.limit_total AS cur_limit, t.all_known AS limit_all FROM day_totals t
       JOIN (SELECT dbid, con_dbid, max(day_dt) AS day_dt FROM day_totals GROUP BY ALL) m ON m.dbid = t.dbid AND m.con_dbid = t.con_dbid AND m.day_dt = t.day_dt""",
     "total_graded": f"SELECT w.*, c.cur_used, c.cur_limit, c.limit_all, icept + slope * (last_day_n + 180) AS proj_180, {_grade('train_n')} AS quality FROM whole_fit w JOIN current_totals c ON c.dbid = w.dbid AND c.con_dbid = w.con_dbid",
     "total_fit": """SELECT dbid, con_dbid, last_day, slope, r2, train_n AS n, cur_used, cur_limit, limit_all, proj_180, quality,
@@ -242,12 +243,69 @@ CTES = {
       UNION ALL SELECT 'DATABASE', dbid, con_dbid, 'The whole database', days_to_limit, CASE WHEN days_to_limit <= {dtf_crit} THEN 2 ELSE 1 END FROM total_fit WHERE days_to_limit <= {dtf_warn}
       UNION ALL SELECT 'CPU', dbid, con_dbid, 'Host CPU', days_to_sat, CASE WHEN days_to_sat <= {dtf_crit} THEN 2 ELSE 1 END FROM cpu_trend WHERE metric = 'BUSY_PCT' AND quality = 'OK' AND days_to_sat <= {dtf_warn}""",
     "bounds": "SELECT max(day_dt) - CAST({anomaly_days} AS INTEGER) AS min_day, max(day_dt) AS max_day FROM (SELECT day_dt FROM tbspc_daily UNION ALL SELECT day_dt FROM cpu_daily)",
-    "points": """SELECT 'TBSPC' AS kind, dbid, con_dbid, tablespace_name AS label, day_dt, anomaly_flag FROM tbspc_anom, bounds WHERE anomaly_flag IS NOT NULL AND day_dt > min_day AND day_dt <= max_day
-      UNION ALL SELECT 'CPU', dbid, con_dbid, 'Host CPU', day_dt, anomaly_flag FROM cpu_anom, bounds WHERE anomaly_flag IS NOT NULL AND day_dt > min_day AND day_dt <= max_day""",
+    "points": """SELECT 'TBSPC' AS kind, dbid, con_dbid, tablespace_name AS label, day_dt, anomaly_flag, used_delta_bytes, used_rate_bpd, median_rate_bpd, CAST(NULL AS DOUBLE) AS busy_pct,
+        CAST(NULL AS DOUBLE) AS median_pct FROM tbspc_anom, bounds WHERE anomaly_flag IS NOT NULL AND day_dt > min_day AND day_dt <= max_day
+      UNION ALL SELECT 'CPU', dbid, con_dbid, 'Host CPU', day_dt, anomaly_flag, NULL, NULL, NULL, busy_pct, median_pct FROM cpu_anom, bounds
+        WHERE anomaly_flag IS NOT NULL AND day_dt > min_day AND day_dt <= max_day""",
     "lanes": "SELECT kind, dbid, con_dbid, label, count(*) AS n FROM points GROUP BY ALL",
     "charted": "SELECT * FROM tbspc_forecast ORDER BY days_to_full ASC NULLS LAST, tablespace_name, dbid, con_dbid LIMIT {top_n}",
 }
 
+
+
+#: Rates of level, trend and season that the checked smoothing queries go by, instead of fitted ones.
+RATES = (0.5, 0.2, 0.3)
+
+
+def _smoothing(prefix: str, rows: str, season: int) -> dict[str, str]:
+    """Smoothing at RATES by a recursion over days: missing days are interpolated, the first points start level and trend (with
+    a season the first two of it do), and bounds widen with the one-step errors' variance."""
+    a, b, g = RATES
+    p, least = prefix, 2 * season if season else 2
+    # The place of a day in the season, and the season after that day.
+    at = f"1 + CAST(y.t % {season or 1} AS INTEGER)"
+    old = f"r.s[{at}]" if season else "0.0"
+    new_s = f"list_concat(list_concat(r.s[1:{at} - 1], [{g} * (y.y - r.level - r.trend) + {1 - g} * {old}]), r.s[{at} + 1:{season}])" if season else "r.s"
+    if season:
+        first = f"""SELECT k, CAST(-1 AS BIGINT) AS t, CAST(0 AS DOUBLE) AS pred, m1 - trend * {(season + 1) / 2} AS level, trend, list_transform(ys, lambda v, i: v - (m1 - trend * {(season + 1) / 2} + trend * i)) AS s
+          FROM (SELECT k, avg(y) FILTER (t < {season}) AS m1, (avg(y) FILTER (t >= {season}) - avg(y) FILTER (t < {season})) / {season}.0 AS trend, list(y ORDER BY t) FILTER (t < {season}) AS ys
+            FROM {p}_y WHERE t < {2 * season} AND n >= {least} GROUP BY k)"""
+    else:
+        first = f"SELECT z.k, CAST(0 AS BIGINT) AS t, z.y AS pred, z.y AS level, o.y - z.y AS trend, [0.0] AS s FROM {p}_y z JOIN {p}_y o ON o.k = z.k AND o.t = 1 WHERE z.t = 0"
+    level = f"{a} * (y.y - {old}) + {1 - a} * (r.level + r.trend)"
+    season_term = f" + s[1 + CAST((n + h - 1) % {season} AS INTEGER)]" if season else ""
+    c = f"{a} + {a * b} * j" + (f" + CASE WHEN j % {season} = 0 THEN {g * (1 - a)} ELSE 0 END" if season else "")
+    return {
+        f"{p}_days": f"""SELECT k, kind, min(day_dt) AS first_day, max(day_dt) AS last_day, count(*) AS known, date_diff('day', min(day_dt), max(day_dt)) + 1 AS n FROM {rows} GROUP BY k, kind""",
+        f"{p}_grid": f"""SELECT d.k, d.n, i AS t, v.val, last_value(v.val IGNORE NULLS) OVER w AS before, last_value(CASE WHEN v.val IS NOT NULL THEN i END IGNORE NULLS) OVER w AS before_t,
+            first_value(v.val IGNORE NULLS) OVER f AS after, first_value(CASE WHEN v.val IS NOT NULL THEN i END IGNORE NULLS) OVER f AS after_t
+          FROM (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM {p}_days) d LEFT JOIN {rows} v ON v.k = d.k AND v.day_dt = d.first_day + CAST(i AS INTEGER)
+          WINDOW w AS (PARTITION BY d.k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY d.k ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""",
+        f"{p}_y": f"SELECT k, n, t, val, CASE WHEN val IS NOT NULL THEN val ELSE before + (after - before) * (t - before_t) / (after_t - before_t) END AS y FROM {p}_grid",
+        f"{p}_run": f"""WITH RECURSIVE r AS ({first} UNION ALL SELECT r.k, y.t, r.level + r.trend + {old}, {level}, {b} * (({level}) - r.level) + {1 - b} * r.trend, {new_s}
+          FROM r JOIN {p}_y y ON y.k = r.k AND y.t = r.t + 1) SELECT * FROM r""",
+        f"{p}_errors": f"""SELECT r.k, CASE WHEN coalesce(avg(pow(y.y - r.pred, 2)) FILTER (y.t >= {0 if season else 2}), 0) < pow(1e-12 * greatest(1, max(abs(y.y))), 2) THEN 0
+          ELSE coalesce(avg(pow(y.y - r.pred, 2)) FILTER (y.t >= {0 if season else 2}), 0) END AS variance FROM {p}_run r JOIN {p}_y y ON y.k = r.k AND y.t = r.t GROUP BY r.k""",
+        f"{p}_ahead": f"""SELECT e.k, h, e.level + e.trend * h{season_term} AS pred, 1.959963984540054 * sqrt(variance * (1 + coalesce((SELECT sum(pow({c}, 2)) FROM generate_series(1, 29) AS x(j) WHERE j < h), 0))) AS spread
+          FROM (SELECT r.*, d.n, v.variance, unnest(generate_series(1, greatest(1, least({{esm_prediction_step}}, 30, d.known // 4)))) AS h
+            FROM {p}_run r JOIN {p}_days d ON d.k = r.k AND r.t = d.n - 1 JOIN {p}_errors v ON v.k = r.k) e""",
+        f"smoothed_{p}": f"""SELECT d.kind || '_' || substr(upper(md5(d.k)), 1, 16) AS model_name, '{'EXSM_ADDWINTERS' if season else 'EXSM_HOLT'}' AS exsm_model, x.day_dt, x.actual, x.prediction, x.lower_bound, x.upper_bound
+          FROM {p}_days d JOIN (
+            SELECT r.k, d.first_day + CAST(r.t AS INTEGER) AS day_dt, y.val AS actual, r.pred AS prediction, CAST(NULL AS DOUBLE) AS lower_bound, CAST(NULL AS DOUBLE) AS upper_bound
+            FROM {p}_run r JOIN {p}_y y ON y.k = r.k AND y.t = r.t JOIN {p}_days d ON d.k = r.k WHERE y.val IS NOT NULL
+            UNION ALL SELECT a.k, d.last_day + CAST(h AS INTEGER), NULL, pred, pred - spread, pred + spread FROM {p}_ahead a JOIN {p}_days d ON d.k = a.k) x ON x.k = d.k""",
+    }
+
+
+_ID = "dbid || '|' || con_dbid || '|' ||"
+CTES |= {
+    "space_rows": f"SELECT 'CAPT' AS kind, {_ID} tablespace_name AS k, day_dt, CAST(max(used_bytes) AS DOUBLE) AS val FROM tbspc_daily GROUP BY ALL",
+    "metric_days": f"""SELECT 'CAPC' AS kind, {_ID} 'BUSY_PCT' AS k, day_dt, busy_pct AS val FROM cpu_daily WHERE busy_pct IS NOT NULL
+      UNION ALL SELECT 'CAPD', {_ID} 'DB_CPU_SEC', day_dt, db_cpu_sec FROM dbtime_daily WHERE db_cpu_sec IS NOT NULL""",
+    **_smoothing("spaces", "space_rows", 0),
+    **_smoothing("metrics", "metric_days", 7),
+}
+
 _T = exact("dbid", "con_dbid", "tablespace_name")
 _C = exact("dbid", "con_dbid")
 _FORECAST = _T | exact("last_day", "train_n", "cur_used", "limit_bytes") | {"slope_bpd": 1, "icept": -1, "r2": 8} | {f"proj_{h}_bytes": -1 for h in (30, 90, 180, 365)} | exact("days_to_full") | {"recent_slope_bpd": 1, "accel_ratio": 6} | exact("quality")
@@ -260,8 +318,18 @@ def _reports(name: str, *args) -> Callable[[Engine], DataFrame]:
     return lambda e: getattr(Reports(e), name)(*args)
 
 
-def _last_only(e: Engine) -> DataFrame:
-    return e.cpu_daily.select("dbid", "con_dbid", "day_dt")
+def smoothed(e: Engine) -> DataFrame:
+    """Trend smoothing of every tablespace at fixed rates: one-step predictions, then the future with bounds."""
+    rows = e.tbspc_daily.groupBy("dbid", "con_dbid", "tablespace_name", "day_dt").agg(F.max("used_bytes").cast("double").alias("val"))
+    rows = rows.select(F.lit("TBSPC").alias("series_kind"), "dbid", "con_dbid", F.col("tablespace_name").alias("series_key"), "day_dt", "val")
+    return fit_all(rows, e.config.esm_prediction_step, RATES).where("status = 'OK'")
+
+
+def smoothed_weekly(e: Engine) -> DataFrame:
+    """Weekly smoothing of both CPU metrics at fixed rates."""
+    busy = e.cpu_daily.select(F.lit("CPU").alias("series_kind"), "dbid", "con_dbid", F.lit("BUSY_PCT").alias("series_key"), "day_dt", F.col("busy_pct").alias("val"))
+    seconds = e.dbtime_daily.select(F.lit("DBCPU").alias("series_kind"), "dbid", "con_dbid", F.lit("DB_CPU_SEC").alias("series_key"), "day_dt", F.col("db_cpu_sec").alias("val"))
+    return fit_all(busy.unionByName(seconds).where("val IS NOT NULL"), e.config.esm_prediction_step, RATES).where("status = 'OK'")
 
 
 QUERIES: dict[str, Query] = {
@@ -271,8 +339,8 @@ QUERIES: dict[str, Query] = {
     "seam_datafile": Query(lambda e: e.seam.datafile, exact("dbid", "con_dbid", "tablespace_id", "block_size"), "capv_datafile"),
     "seam_osstat": Query(lambda e: e.seam.osstat, exact("dbid", "con_dbid", "instance_number", "snap_id", "stat_name", "value"), "capv_osstat"),
     "seam_time_model": Query(lambda e: e.seam.time_model, exact("dbid", "con_dbid", "instance_number", "snap_id", "stat_name", "value"), "capv_time_model"),
-    "snap_time": Query(lambda e: daily.snap_time(e.seam.snapshot), exact("dbid", "snap_id", "eit"), "snap_time"),
-    "block_size_fallback": Query(lambda e: daily.block_sizes(e.seam.datafile), exact("dbid", "con_dbid", "tablespace_id", "file_block_size"), "bsize"),
+    "snap_time": Query(lambda e: daily.snap_time(e.seam.snapshot), exact("dbid", "snap_id", "ended_at"), "snap_time"),
+    "block_size_fallback": Query(lambda e: daily.block_sizes(e.seam.datafile), exact("dbid", "con_dbid", "tablespace_id", "file_block_size"), "file_blocks"),
     "tbspc_daily": Query(lambda e: e.tbspc_daily, _T | exact("tablespace_id", "day_dt", "used_bytes", "size_bytes", "limit_bytes", "n_samples"), "tbspc_daily"),
     "tbspc_delta": Query(lambda e: e.tbspc_delta, _T | exact("day_dt", "used_bytes", "used_delta_bytes", "day_gap") | {"used_rate_bpd": 3}, "tbspc_delta"),
     "cpu_counter_deltas": Query(
@@ -322,7 +390,7 @@ QUERIES: dict[str, Query] = {
         _reports("compare_table", "CPU"), _C | exact("series_key", "h") | {"regr": 4},
         "SELECT dbid, con_dbid, series_key, horizon_days AS h, max(CASE WHEN engine = 'REGR' THEN value END) AS regr FROM compare WHERE series_kind = 'CPU' GROUP BY 1, 2, 3, 4",
     ),
-    "total_size_filled": Query(_reports("total_filled"), _C | exact("day_dt", "used_total"), "total_filled"),
+    "total_size_filled": Query(_reports("total_filled"), _C | exact("day_dt", "all_bytes"), "total_filled"),
     "total_size_current": Query(_reports("current_totals"), _C | exact("cur_used", "cur_limit", "limit_all"), "current_totals"),
     "total_size_fit": Query(_reports("total_fit"), _C | exact("last_day", "n", "cur_used", "cur_limit", "limit_all") | {"slope": 1, "r2": 8, "proj_180": -1} | exact("quality", "days_to_limit"), "total_fit"),
     "alerts": Query(_reports("alerts"), exact("kind", "dbid", "con_dbid", "label", "days", "severity"), "alerts", CONFIG.replace(dtf_warn=2000, dtf_crit=900)),
@@ -332,7 +400,7 @@ QUERIES: dict[str, Query] = {
         "SELECT CASE WHEN count(*) = 0 THEN 'ok' WHEN max(severity) >= 2 THEN 'crit' ELSE 'warn' END AS state, count(*) AS n_alerts FROM alerts", CONFIG.replace(dtf_warn=2000, dtf_crit=900),
     ),
     "timeline_bounds": Query(_reports("timeline_bounds"), exact("min_day", "max_day"), "bounds"),
-    "timeline_points": Query(_reports("timeline_points"), exact("kind", "dbid", "con_dbid", "label", "day_dt", "anomaly_flag"), "points", CONFIG.replace(anomaly_days=3000, cpu_min_mad_pct=0.5)),
+    "timeline_points": Query(_reports("timeline_points"), exact("kind", "dbid", "con_dbid", "label", "day_dt", "anomaly_flag", "used_delta_bytes") | {"used_rate_bpd": 3, "median_rate_bpd": 3, "busy_pct": 6, "median_pct": 6}, "points", CONFIG.replace(anomaly_days=3000, cpu_min_mad_pct=0.5)),
     "timeline_lanes": Query(
         _reports("timeline_lanes"), exact("kind", "dbid", "con_dbid", "label", "n", "n_lanes"),
         "SELECT *, (SELECT count(*) FROM lanes) AS n_lanes FROM lanes ORDER BY n DESC, label, dbid, con_dbid LIMIT 12", CONFIG.replace(anomaly_days=3000, cpu_min_mad_pct=0.5),
@@ -359,6 +427,16 @@ QUERIES: dict[str, Query] = {
         _reports("chart_projection"), _T | exact("end_day") | {"end_gb": 6},
         "SELECT dbid, con_dbid, tablespace_name, last_day + 180 AS end_day, (cur_used + slope_bpd * 180) / 1073741824 AS end_gb FROM charted WHERE quality = 'OK'",
     ),
+    "total_projection": Query(
+        _reports("total_projection"), _C | exact("end_day") | {"end_gb": 6},
+        "SELECT dbid, con_dbid, last_day + 180 AS end_day, (cur_used + slope * 180) / 1073741824 AS end_gb FROM total_fit WHERE quality = 'OK'", CONFIG.replace(r2_gate=0.1),
+    ),
+    "cpu_projection": Query(
+        _reports("cpu_projection"), _C | exact("metric", "end_day") | {"end_val": 4},
+        "SELECT dbid, con_dbid, metric, last_day + 90 AS end_day, cur_val + slope_per_day * 90 AS end_val FROM cpu_trend WHERE quality = 'OK'", CONFIG.replace(r2_gate=0.0, min_train_days=2),
+    ),
+    "smoothing_series": Query(smoothed, exact("model_name", "exsm_model", "day_dt") | {c: -1 for c in ("actual", "prediction", "lower_bound", "upper_bound")}, "smoothed_spaces"),
+    "smoothing_weekly": Query(smoothed_weekly, exact("model_name", "exsm_model", "day_dt") | {c: 5 for c in ("actual", "prediction", "lower_bound", "upper_bound")}, "smoothed_metrics"),
     "container_union": Query(_reports("containers"), exact("dbid", "con_dbid"), "SELECT dbid, con_dbid FROM cpu_daily UNION SELECT dbid, con_dbid FROM dbtime_daily"),
     "container_count": Query(_reports("container_count"), exact("n_containers"), "SELECT count(DISTINCT con_dbid) AS n_containers FROM tbspc_daily"),
     "cpu_heroes": Query(
@@ -417,11 +495,17 @@ REGISTRY_COLUMNS = exact("model_name", "series_kind", "dbid", "con_dbid", "serie
 
 
 def config_knobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored knobs and their defaults."""
-    return spark.createDataFrame(Config().rows(), "cfg_name string, cfg_value double")
+    """The stored knobs after seeding a new store."""
+    store = ConfigStore(spark, shared_path(spark, "config"))
+    store.seed()
+    return store.read()
 
 
-CONFIG_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', CAST({v} AS DOUBLE))" for n, v in Config().rows()) + ") AS t(cfg_name, cfg_value)"
+#: The knobs and their defaults, as text.
+CONFIG_SQL = """SELECT cfg_name, CAST(cfg_value AS DOUBLE) AS cfg_value FROM (VALUES
+  ('train_days', 90), ('recent_days', 28), ('min_train_days', 14), ('r2_gate', 0.60), ('mad_k', 3), ('mad_window_days', 28), ('anomaly_report_days', 14), ('cpu_sat_pct', 80),
+  ('abs_floor_bytes', 104857600), ('dow_weeks', 8), ('dtf_warn', 90), ('dtf_crit', 30), ('tbspc_min_hist', 7), ('cpu_min_mad_pct', 3), ('cpu_min_dow_hist', 3), ('esm_prediction_step', 30)
+) AS t(cfg_name, cfg_value)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

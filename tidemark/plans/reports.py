@@ -125,24 +125,24 @@ class Reports:
         grid = d.select(*CONTAINER, "day_dt").distinct().join(d.select(*SERIES).distinct(), CONTAINER)
         w = W.partitionBy(*SERIES).orderBy("day_dt").rowsBetween(W.unboundedPreceding, W.currentRow)
         filled = grid.join(d.select(*SERIES, "day_dt", "used_bytes"), [*SERIES, "day_dt"], "left")
-        filled = filled.withColumn("used_fill", F.last("used_bytes", ignorenulls=True).over(w))
-        return filled.groupBy(*CONTAINER, "day_dt").agg(F.sum("used_fill").alias("used_total"))
+        filled = filled.withColumn("carried_bytes", F.last("used_bytes", ignorenulls=True).over(w))
+        return filled.groupBy(*CONTAINER, "day_dt").agg(F.sum("carried_bytes").alias("all_bytes"))
 
     def current_totals(self) -> DataFrame:
         """Of a container's last day, not filled: used, limit, and whether all limits are known."""
         day = self.engine.tbspc_daily.groupBy(*CONTAINER, "day_dt").agg(
-            F.sum("used_bytes").alias("used_total"),
+            F.sum("used_bytes").alias("all_bytes"),
             F.sum("limit_bytes").alias("limit_total"),
             (F.count("*") == F.count("limit_bytes")).cast("int").alias("all_known"),
         )
         return day.groupBy(*CONTAINER).agg(
-            keep_last("used_total", "day_dt").alias("cur_used"), keep_last("limit_total", "day_dt").alias("cur_limit"), keep_last("all_known", "day_dt").alias("limit_all")
+            keep_last("all_bytes", "day_dt").alias("cur_used"), keep_last("limit_total", "day_dt").alias("cur_limit"), keep_last("all_known", "day_dt").alias("limit_all")
         )
 
     def total_fit(self) -> DataFrame:
         """The whole database's fit, grade and days to its limit, by the rules of single series."""
         c = self.config
-        fit = linear_fit(self.total_filled(), CONTAINER, "used_total", c, [])
+        fit = linear_fit(self.total_filled(), CONTAINER, "all_bytes", c, [])
         rows = fit.join(self.current_totals(), CONTAINER).withColumn("quality", quality(F.col("train_n"), F.col("slope"), F.col("r2"), c.min_train_days, c.r2_gate))
         reach = (F.col("quality") == "OK") & (F.col("slope") > 0) & (F.col("limit_all") == 1) & (F.col("cur_limit") > F.col("cur_used"))
         return rows.select(
@@ -247,6 +247,16 @@ class Reports:
         end = F.col("cur_used") + F.col("slope_bpd") * 180
         return rows.select(*SERIES, F.date_add("last_day", 180).alias("end_day"), (end / GB).alias("end_gb"))
 
+    def total_projection(self) -> DataFrame:
+        """The end of each whole database's projection line, if its fit is reliable: the current size and 180 days' growth."""
+        end = F.col("cur_used") + F.col("slope") * 180
+        return self.total_fit().where("quality = 'OK'").select(*CONTAINER, F.date_add("last_day", 180).alias("end_day"), (end / GB).alias("end_gb"))
+
+    def cpu_projection(self) -> DataFrame:
+        """The end of each reliable CPU metric's projection line: the current value and 90 days' change."""
+        rows = self.engine.cpu_trend.where("quality = 'OK'")
+        return rows.select(*CONTAINER, "metric", F.date_add("last_day", 90).alias("end_day"), (F.col("cur_val") + F.col("slope_per_day") * 90).alias("end_val"))
+
     def containers(self) -> DataFrame:
         return self.engine.cpu_daily.select(*CONTAINER).union(self.engine.dbtime_daily.select(*CONTAINER)).distinct()
 

@@ -16,6 +16,8 @@ nav a{margin-right:12px}table{border-collapse:collapse;width:100%}th,td{padding:
 .cards{display:grid;grid-template-columns:repeat(auto-fit,minmax(420px,1fr));gap:12px}.card,.glance{border:1px solid var(--line);border-radius:8px;padding:10px}
 .glance.ok{border-color:var(--ok)}.glance.warn{border-color:var(--warn)}.glance.crit{border-color:var(--crit)}.muted{color:var(--muted)}
 .pill{border:1px solid;border-radius:9px;padding:0 7px;font-size:12px}.ok{color:var(--ok)}.warn{color:var(--warn)}.crit{color:var(--crit)}
+.strips{display:grid;grid-template-columns:max-content 1fr;gap:6px 14px}.strips dd{margin:0}.strip{position:relative;height:18px;border-bottom:1px solid var(--line);background:repeating-linear-gradient(to left,var(--line) 0 1px,transparent 1px var(--week))}
+.strip i{position:absolute;bottom:3px;width:10px;height:10px;margin-left:-5px;border-radius:50%;background:var(--crit)}
 .bar{display:inline-block;width:80px;height:8px;background:var(--line)}.fill{display:block;height:8px;background:currentColor}
 svg{width:100%}.grid,.lane{stroke:var(--line)}.tick{fill:var(--muted);font-size:10px}.history,.projection{fill:none;stroke:var(--a);stroke-width:2}.projection{stroke-dasharray:5 4}
 circle.history{fill:var(--a)}.limit,circle.mark{stroke:var(--crit)}.limit{stroke-dasharray:2 3}circle.mark{fill:var(--crit)}.bounds{stroke:var(--b)}circle.esm{fill:var(--b)}.key{margin-right:12px;font-size:12px}
@@ -34,48 +36,45 @@ def _table(heads: list[str], rows: list[list[str]], empty: str) -> str:
     if not rows:
         return f'<p class="muted">{p.esc(empty)}</p>'
     body = "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows)
-    return "<table><thead><tr>" + "".join(f"<th>{p.esc(h)}</th>" for h in heads) + f"</tr></thead><tbody>{body}</tbody></table>"
+    head = "".join(f"<th>{p.esc(h)}{p.info_icon(GLOSSARY[h]) if h in GLOSSARY else ''}</th>" for h in heads)
+    return f"<table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>"
+
+
+def count_of(n: int, thing: str) -> str:
+    return f"{n} {thing}{'' if n == 1 else 's'}"
 
 
 def banner(alerts: list, unusual: int, config, many: bool) -> str:
-    note = f" {unusual} unusual day{'' if unusual == 1 else 's'} in the last {config.anomaly_days} days; see the timeline." if unusual else ""
-    if not alerts:
-        return f'<div class="glance ok">All clear: nothing needs attention within {config.dtf_warn} days.{note}</div>'
-    where = lambda a: f" (con_dbid {a['con_dbid']})" if many and a["kind"] != "TBSPC" else ""
-    says = {"TBSPC": "could be full in", "DATABASE": "could reach its total allocated limit in", "CPU": f"could reach {config.cpu_sat_pct:g}% busy in"}
-    order = {"TBSPC": 0, "DATABASE": 1, "CPU": 2}
-    items = sorted(alerts, key=lambda a: (order[a["kind"]], a["days"], a["label"], a["con_dbid"]))
-    lines = "".join(f"<li>{p.esc(a['label'] + where(a))} {says[a['kind']]} {p.time_phrase(a['days'])}</li>" for a in items)
-    state = "crit" if max(a["severity"] for a in alerts) >= 2 else "warn"
-    return f'<div class="glance {state}"><b>Needs attention:</b><ul>{lines}</ul>{note}</div>'
+    """The state of everything: which limits are expected inside the warning window, soonest first."""
+    limits = {"TBSPC": "its size limit", "DATABASE": "the sum of all limits", "CPU": f"{config.cpu_sat_pct:g} % load"}
+    lead = f"{count_of(len(alerts), 'limit') if alerts else 'No limit'} expected to be met within {config.dtf_warn} days."
+    rows = []
+    for a in sorted(alerts, key=lambda a: (a["days"], -a["severity"], a["kind"], a["label"], a["con_dbid"])):
+        container = f" [{a['con_dbid']}]" if many and a["kind"] != "TBSPC" else ""
+        rows.append([p.esc(a["label"]) + container, limits[a["kind"]], p.time_phrase(a["days"])])
+    state = ("ok", "warn", "crit")[max((a["severity"] for a in alerts), default=0)]
+    aside = f"<p>{count_of(unusual, 'flagged day')} since {config.anomaly_days} days before the newest one.</p>" if unusual else ""
+    return f'<div class="glance {state}"><p>{lead}</p>{_table(["Series", "Limit", "Expected"], rows, "") if rows else ""}{aside}</div>'
 
 
 def timeline(lanes: list, points: list, bounds) -> str:
+    """A strip of days for each series, with flagged days as dots at their share of the window."""
     if not bounds or bounds["max_day"] is None:
-        return '<p class="muted">No daily history collected yet to scan for unusual activity.</p>'
+        return '<p class="muted">There are no days to look at.</p>'
     if not lanes:
-        return '<div class="glance ok">No unusual activity.</div>'
-    width, left, right, lane, top = 1120, 190, 20, 26, 12
-    height = top + lane * len(lanes) + 30
-    lo, hi = bounds["min_day"].toordinal(), bounds["max_day"].toordinal()
-    x = lambda d: p.lin(d.toordinal(), lo, hi, left, width - right)
-    out = []
-    for back in range(0, hi - lo, 7):
-        at = p.px(p.lin(hi - back, lo, hi, left, width - right))
-        out.append(f'<line class="grid" x1="{at}" y1="{top}" x2="{at}" y2="{height - 30}"/>')
-    by = defaultdict(list)
+        return '<p class="muted">No day in this window is flagged.</p>'
+    first, days = bounds["min_day"], (bounds["max_day"] - bounds["min_day"]).days
+    flagged = defaultdict(list)
     for q in points:
-        by[q["kind"], q["dbid"], q["con_dbid"], q["label"]].append(q)
-    for i, row in enumerate(lanes):
-        y = top + (i + 0.5) * lane
-        out.append(f'<line class="lane" x1="{left}" y1="{p.px(y)}" x2="{width - right}" y2="{p.px(y)}"/><text class="tick" x="6" y="{p.px(y + 3)}">{p.esc(row["label"])}</text>')
-        for q in by[row["kind"], row["dbid"], row["con_dbid"], row["label"]]:
-            tip = p.growth_tip(q["day_dt"], q["used_delta_bytes"], q["used_rate_bpd"], q["median_rate_bpd"]) if row["kind"] == "TBSPC" else p.busy_tip(q["day_dt"], q["busy_pct"], q["median_pct"])
-            out.append(f'<circle class="mark" cx="{p.px(x(q["day_dt"]))}" cy="{p.px(y)}" r="3.4"><title>{p.esc(tip)}</title></circle>')
-    out.append(p.x_axis(bounds["min_day"], bounds["max_day"], (left, top, width - right, height - 30)))
-    more = lanes[0]["n_lanes"] - len(lanes)
-    note = f'<p class="muted">{more} more series with unusual days aren\'t shown.</p>' if more > 0 else ""
-    return f'<svg viewBox="0 0 {width} {height}" role="img" aria-label="Unusual days">{"".join(out)}</svg>{note}'
+        note = p.growth_note(q["day_dt"], q["used_delta_bytes"], q["used_rate_bpd"], q["median_rate_bpd"]) if q["kind"] == "TBSPC" else p.busy_note(q["day_dt"], q["busy_pct"], q["median_pct"])
+        flagged[q["kind"], q["dbid"], q["con_dbid"], q["label"]].append(((q["day_dt"] - first).days / max(1, days), note))
+    strips = ""
+    for row in lanes:
+        dots = "".join(f'<i style="left:{share:.1%}" title="{p.esc(note)}"></i>' for share, note in sorted(flagged[row["kind"], row["dbid"], row["con_dbid"], row["label"]]))
+        strips += f'<dt>{p.esc(row["label"])}</dt><dd class="strip">{dots}</dd>'
+    rest = lanes[0]["n_lanes"] - len(lanes)
+    hidden = f'<p class="muted">{rest} further series with flagged days left out.</p>' if rest > 0 else ""
+    return f'<dl class="strips" style="--week:{700 / max(1, days):.3f}%">{strips}</dl><p class="muted">{first} to {bounds["max_day"]}; a line a week.</p>{hidden}'
 
 
 def render(reports: Reports, who: Identity) -> str:
@@ -85,7 +84,7 @@ def render(reports: Reports, who: Identity) -> str:
     alerts, unusual = reports.alerts().collect(), reports.unusual_days().collect()[0]["n_unusual"]
     whole, filled = reports.total_fit().orderBy("dbid", "con_dbid").collect(), defaultdict(list)
     for r in reports.total_filled().orderBy("day_dt").collect():
-        filled[r["dbid"], r["con_dbid"]].append((r["day_dt"], r["used_total"] / 2**30))
+        filled[r["dbid"], r["con_dbid"]].append((r["day_dt"], r["all_bytes"] / 2**30))
     heroes = reports.cpu_heroes().orderBy("dbid", "con_dbid").collect()
     lanes, points = reports.timeline_lanes().collect(), reports.timeline_points().collect()
     bounds = reports.timeline_bounds().collect()
@@ -97,6 +96,8 @@ def render(reports: Reports, who: Identity) -> str:
         history[r["dbid"], r["con_dbid"], r["tablespace_name"]].append(r)
     ends = {(r["dbid"], r["con_dbid"], r["tablespace_name"]): (r["end_day"], r["end_gb"]) for r in reports.chart_projection().collect()}
     esm = {(r["dbid"], r["con_dbid"], r["series_key"]): r for r in reports.chart_esm().collect()} if reports.shows_esm(ok) else {}
+    totals_end = {(r["dbid"], r["con_dbid"]): (r["end_day"], r["end_gb"]) for r in reports.total_projection().collect()}
+    cpu_end = {(r["dbid"], r["con_dbid"], r["metric"]): (r["end_day"], r["end_val"]) for r in reports.cpu_projection().collect()}
     trend, busy_days = reports.cpu_trend_table().collect(), reports.cpu_anomalies().collect()
     growth = reports.tbspc_anomalies().collect()
     cpu = defaultdict(list)
@@ -107,9 +108,7 @@ def render(reports: Reports, who: Identity) -> str:
 
     out = [f"<h2 id='s0'>At a glance</h2>{banner(alerts, unusual, c, many)}<div class='cards'>"]
     for r in whole:
-        end = None
-        if r["quality"] == "OK":
-            end = (r["last_day"].fromordinal(r["last_day"].toordinal() + 180), (r["cur_used"] + r["slope"] * 180) / 2**30)
+        end = totals_end.get((r["dbid"], r["con_dbid"]))
         limit = r["cur_limit"] / 2**30 if r["limit_all"] == 1 else None
         out.append(p.chart(name(r, "Whole database"), filled[r["dbid"], r["con_dbid"]], projection=end, limit=limit))
         reach = f", limit in {p.time_phrase(r['days_to_limit'])}" if r["days_to_limit"] is not None else ""
@@ -139,14 +138,12 @@ def render(reports: Reports, who: Identity) -> str:
     hidden = (chosen[0]["n_series"] - len(chosen)) if chosen else 0
     out.append("</div>" + (f"<p class='muted'>{hidden} more series aren't charted.</p>" if hidden > 0 else ""))
     out.append(f"<h2 id='s3'>3. Growth anomalies</h2>" + _table(["Tablespace", "Day", "Gap", "MB", "MB a day", "Median", "Threshold", "Robust z", "Flag"], [[p.esc(name(r, r["tablespace_name"])), str(r["day_dt"]), str(r["gap"]), *(p.nz(r[k], 1) for k in ("delta_mb", "rate_mb", "med_mb", "thr_mb", "z")), p.esc(r["anomaly_flag"])] for r in growth], "No unusual growth."))
-    out.append("<h2 id='s4'>4. CPU trend</h2>" + _table(["Container", "Metric", "Days", "Now", "Slope a day", "R2", "Days to saturation", "Quality"], [[str(r["con_dbid"]), p.esc(r["metric"]), str(r["n"]), p.nz(r["cur_val"]), p.nz(r["slope_day"], 4), p.nz(r["r2"], 3), p.nz(r["days_sat"], 0), p.quality_pill(r["quality"])] for r in trend], "No CPU history."))
-    slopes = {(r["dbid"], r["con_dbid"], r["metric"]): r for r in trend}
+    out.append("<h2 id='s4'>4. CPU trend</h2>" + _table(["Container", "Metric", "Days", "Now", "Slope a day", "R2", "Days to saturation", "Quality"], [[str(r["con_dbid"]), p.esc(r["metric"]), str(r["n"]), p.nz(r["cur_val"]), p.nz(r["slope_day"], 4), p.nz(r["r2"], 3), p.nz(r["days_sat"], 0), p.quality_pill(r["quality"])] for r in trend], "No CPU history." if reports.has_cpu() else "The source has no host or time statistics."))
     out.append("<div class='cards'>")
     for key, rows in sorted(cpu.items()):
         for metric, column, unit in (("BUSY_PCT", "busy_pct", "%"), ("DB_CPU_SEC", "db_cpu_sec", "s")):
             line = [(r["day_dt"], r[column]) for r in rows if r[column] is not None]
-            t = slopes.get((*key, metric))
-            end = (line[-1][0].fromordinal(line[-1][0].toordinal() + 90), line[-1][1] + t["slope_day"] * 90) if t and t["quality"] == "OK" and line else None
+            end = cpu_end.get((*key, metric))
             marks = [(r["day_dt"], r[column], f"{r['day_dt']}: {r['anomaly_flag']}") for r in rows if r["anomaly_flag"] and metric == "BUSY_PCT"]
             out.append(p.chart(f"{metric} ({key[0]}/{key[1]})", line, projection=end, limit=c.cpu_sat_pct if metric == "BUSY_PCT" else None, marks=marks, unit=unit))
     out.append("</div><h2 id='s5'>5. CPU anomalies</h2>" + _table(["Container", "Day", "Busy %", "Median %", "Threshold %", "Robust z", "Flag"], [[str(r["con_dbid"]), str(r["day_dt"]), *(p.nz(r[k]) for k in ("busy_pct", "median_pct", "threshold_pct", "z")), p.esc(r["anomaly_flag"])] for r in busy_days], "No unusual CPU days."))

@@ -28,8 +28,9 @@ SIMILARITY = 0.95
 SAMPLE = 20_000
 #: Subspaces and codes in each.
 SUBSPACES, CODES = 8, 256
-#: Share of synthetic neighbours at the threshold that visited lists must hold.
-RECALL = 0.9995
+#: Shares of synthetic neighbours exactly at the threshold that visited lists must hold: in random directions, and in the
+#: direction of other vectors, which are much further from their lists.
+RECALL, RECALL_INSIDE = 0.9995, 0.995
 #: Vector lengths of which each gets a fitted index, those of most classes, and the classes that a length needs for one.
 FITTED, LEAST = 16, 1024
 #: First-level centroids at most, and distances to lists that are worked out at once.
@@ -160,17 +161,17 @@ def padded(x: np.ndarray) -> np.ndarray:
 
 
 def neighbour_margin(sample: np.ndarray, index: Index, similarity: float, recall: float, rng: np.random.Generator) -> float:
-    """How much further, over the sample, the centroid of a neighbour's list is from a vector than that of its own: the
-    given quantile for neighbours at exactly this cosine, in random directions or towards other vectors of the sample,
-    whichever is more. The latter lie in the data's own subspace, where the lists are."""
+    """How much further, over the sample, the centroid of a neighbour's list is from a vector than that of its own: a
+    quantile for neighbours at exactly this cosine, in random directions (recall) or towards other vectors of the sample
+    (RECALL_INSIDE), whichever is more. The latter lie in the data's own subspace, where the lists are."""
     most = 0.0
-    for way in (rng.normal(size=sample.shape), sample[rng.permutation(len(sample))]):
+    for way, share in ((rng.normal(size=sample.shape), recall), (sample[rng.permutation(len(sample))], min(recall, RECALL_INSIDE))):
         way = way - (way * sample).sum(1, keepdims=True) * sample
         norms = np.linalg.norm(way, axis=1, keepdims=True)
         other = similarity * sample + np.sqrt(1 - similarity**2) * way / np.where(norms > 1e-9, norms, 1)
         theirs = index.own(other)
         excess = [d[np.arange(len(d)), theirs[i : i + len(d)]] - d.min(1) for i, d in index.to_lists(sample)]
-        most = max(most, float(np.quantile(np.concatenate(excess), recall)))
+        most = max(most, float(np.quantile(np.concatenate(excess), share)))
     return most + 1e-9
 
 

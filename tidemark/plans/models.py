@@ -17,10 +17,10 @@ REGISTRY_SCHEMA = (
 
 class Models:
     """Models over the daily series of an engine, kept under a path. Training replaces the models that it trains and
-    leaves the others."""
+    leaves the others. With `rates` of level, trend and season, models go by those instead of fitted ones."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, path: str, rates: tuple[float, float, float] | None = None):
+        self.spark, self.rates = spark, rates
         self.registry = VersionedTable(spark, f"{path}/registry", REGISTRY_SCHEMA)
         self.forecasts = VersionedTable(spark, f"{path}/forecasts", FORECAST_SCHEMA)
 
@@ -54,7 +54,7 @@ class Models:
         empty = {"exsm_model": "string", "seasonality": "int", "trained_through": "date"}
         marked = names.select("*", *(F.lit(None).cast(t).alias(c) for c, t in empty.items()), F.current_timestamp().alias("trained_at"), F.lit("TRAINING").alias("status"))
         self.registry.upsert(marked.select(columns), "model_name")
-        result = fit_all(series, config.esm_prediction_step).persist()
+        result = fit_all(series, config.esm_prediction_step, self.rates).persist()
         try:
             forecast = result.where("status = 'OK'").select([c.split()[0] for c in FORECAST_SCHEMA.split(", ")])
             kept = self.forecasts.read().join(result.select("model_name").distinct(), "model_name", "left_anti")

@@ -304,6 +304,13 @@ CTES |= {
       UNION ALL SELECT 'CAPD', {_ID} 'DB_CPU_SEC', day_dt, db_cpu_sec FROM dbtime_daily WHERE db_cpu_sec IS NOT NULL""",
     **_smoothing("spaces", "space_rows", 0),
     **_smoothing("metrics", "metric_days", 7),
+    "esm_candidates": """SELECT * FROM tbspc_forecast WHERE train_n >= {min_train_days} ORDER BY days_to_full ASC NULLS LAST, cur_used DESC NULLS LAST, dbid, con_dbid, tablespace_name LIMIT 20""",
+    "esm_points": f"""SELECT c.dbid, c.con_dbid, 'TBSPC' AS series_kind, c.tablespace_name AS series_key, 30 AS horizon_days, 'ESM' AS engine, s.prediction AS value, s.lower_bound, s.upper_bound
+        FROM esm_candidates c JOIN smoothed_spaces s ON s.model_name = 'CAPT_' || substr(upper(md5(c.dbid || '|' || c.con_dbid || '|' || c.tablespace_name)), 1, 16)
+        WHERE s.actual IS NULL AND s.day_dt = c.last_day + 30
+      UNION ALL SELECT c.dbid, c.con_dbid, 'CPU', c.metric, 30, 'ESM', s.prediction, s.lower_bound, s.upper_bound
+        FROM cpu_trend c JOIN smoothed_metrics s ON s.model_name = CASE c.metric WHEN 'BUSY_PCT' THEN 'CAPC_' ELSE 'CAPD_' END || substr(upper(md5(c.dbid || '|' || c.con_dbid || '|' || c.metric)), 1, 16)
+        WHERE s.actual IS NULL AND s.day_dt = c.last_day + 30""",
 }
 
 _T = exact("dbid", "con_dbid", "tablespace_name")
@@ -332,6 +339,21 @@ def smoothed_weekly(e: Engine) -> DataFrame:
     return fit_all(busy.unionByName(seconds).where("val IS NOT NULL"), e.config.esm_prediction_step, RATES).where("status = 'OK'")
 
 
+def at_rates(e: Engine) -> Engine:
+    """The same engine with models of all candidates at RATES, trained in the shared folder."""
+    made = Engine(e.seam, e.config, models_path=shared_path(e.spark, "models"), cache=True)
+    made.models.rates = RATES
+    made.train_all(20)
+    made.close()
+    return made
+
+
+def _reports_at_rates(name: str, *args) -> Callable[[Engine], DataFrame]:
+    return lambda e: getattr(Reports(at_rates(e)), name)(*args)
+
+
+_BOUNDS = {"value": -1, "lower_bound": -1, "upper_bound": -1}
+
 QUERIES: dict[str, Query] = {
     "seam_snapshot": Query(lambda e: e.seam.snapshot, exact("dbid", "con_dbid", "instance_number", "snap_id", "begin_interval_time", "end_interval_time", "startup_time"), "capv_snapshot"),
     "seam_usage": Query(lambda e: e.seam.tbspc_usage, exact("dbid", "con_dbid", "snap_id", "tablespace_id", "tablespace_size", "tablespace_maxsize", "tablespace_usedsize"), "capv_tbspc_usage"),
@@ -437,6 +459,23 @@ QUERIES: dict[str, Query] = {
     ),
     "smoothing_series": Query(smoothed, exact("model_name", "exsm_model", "day_dt") | {c: -1 for c in ("actual", "prediction", "lower_bound", "upper_bound")}, "smoothed_spaces"),
     "smoothing_weekly": Query(smoothed_weekly, exact("model_name", "exsm_model", "day_dt") | {c: 5 for c in ("actual", "prediction", "lower_bound", "upper_bound")}, "smoothed_metrics"),
+    "esm_points": Query(lambda e: at_rates(e).compare.where("engine = 'ESM'"), _C | exact("series_kind", "series_key", "horizon_days", "engine") | _BOUNDS, "esm_points"),
+    "report_forecast_esm": Query(
+        _reports_at_rates("forecast_table"), _T | {"esm30": 6},
+        """SELECT f.dbid, f.con_dbid, f.tablespace_name, e.value / 1073741824 AS esm30 FROM tbspc_forecast f
+        LEFT JOIN esm_points e ON e.dbid = f.dbid AND e.con_dbid = f.con_dbid AND e.series_key = f.tablespace_name AND e.series_kind = 'TBSPC'""",
+    ),
+    "report_compare_esm": Query(
+        _reports_at_rates("compare_table", "TBSPC"), _C | exact("series_key", "h") | {c: 6 for c in ("regr", "esm", "esm_lo", "esm_hi")},
+        """SELECT coalesce(r.dbid, e.dbid) AS dbid, coalesce(r.con_dbid, e.con_dbid) AS con_dbid, coalesce(r.series_key, e.series_key) AS series_key, coalesce(r.horizon_days, e.horizon_days) AS h,
+          r.value / 1073741824 AS regr, e.value / 1073741824 AS esm, e.lower_bound / 1073741824 AS esm_lo, e.upper_bound / 1073741824 AS esm_hi
+        FROM (SELECT * FROM compare WHERE series_kind = 'TBSPC') r FULL JOIN (SELECT * FROM esm_points WHERE series_kind = 'TBSPC') e
+          ON e.dbid = r.dbid AND e.con_dbid = r.con_dbid AND e.series_key = r.series_key AND e.horizon_days = r.horizon_days""",
+    ),
+    "chart_esm": Query(
+        _reports_at_rates("chart_esm"), _C | exact("series_key", "horizon_days") | _BOUNDS,
+        "SELECT e.* FROM esm_points e JOIN charted c ON c.dbid = e.dbid AND c.con_dbid = e.con_dbid AND c.tablespace_name = e.series_key WHERE e.series_kind = 'TBSPC'",
+    ),
     "container_union": Query(_reports("containers"), exact("dbid", "con_dbid"), "SELECT dbid, con_dbid FROM cpu_daily UNION SELECT dbid, con_dbid FROM dbtime_daily"),
     "container_count": Query(_reports("container_count"), exact("n_containers"), "SELECT count(DISTINCT con_dbid) AS n_containers FROM tbspc_daily"),
     "cpu_heroes": Query(

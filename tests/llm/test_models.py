@@ -1,5 +1,8 @@
 """Trees, calibration, and both classifiers by held-out accuracy; chat roles."""
 
+import math
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -50,14 +53,101 @@ def test_isotonic():
     assert Isotonic.fit(np.zeros(0), np.zeros(0))(np.array([0.5])) == pytest.approx([0.5])
 
 
-@pytest.mark.parametrize(("query", "label", "least", "size"), [(op6_quality, "quality", 0.97, "sf0.01"), (op7_toxicity, "toxic", 0.98, "sf0.1")])
-def test_held_out(spark, query, label, least, size):
+@pytest.mark.parametrize(
+    ("query", "label", "least", "size", "precision", "recall"), [(op6_quality, "quality", 0.97, "sf0.01", 0.95, 0.95), (op7_toxicity, "toxic", 0.98, "sf0.1", 0.9, 0.85)]
+)
+def test_held_out(spark, query, label, least, size, precision, recall):
     folder = f"{TESTDATA}/{size}"
     rows = query(spark, folder).collect()
     labels = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     held = [r for r in rows if r["held_out"] and r["doc_id"] in labels]
     assert len(rows) >= 1000 and len(held) > 50 and all(0 <= r["score"] <= 1 for r in rows)
     assert auc([r["score"] for r in held], [labels[r["doc_id"]] for r in held]) >= least
+    # At the threshold, and calibrated: scores add up to about the number of positives.
+    hits = sum(r["predicted"] and labels[r["doc_id"]] == 1 for r in held)
+    positive = sum(labels[r["doc_id"]] == 1 for r in held)
+    assert hits >= precision * sum(r["predicted"] for r in held) and hits >= recall * positive
+    assert abs(sum(r["score"] for r in held) - positive) <= 0.15 * positive + 3
+    assert all(r["predicted"] == (r["score"] >= (0.5 if label == "quality" else 0.3)) for r in rows)
+
+
+def plain_statistics(text):
+    if not text:
+        return [0.0] * 32
+    data, words, lines = text.encode(), text.split(), [x.strip() for x in text.split("\n") if x.strip()]
+    n, m, share = max(1, len(words)), max(1, len(lines)), lambda chars: sum(b in chars for b in data) / len(data)
+    sets = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t", b"\n\r", b".", b",;:", b"!?", b"|", b"#$%&*@^~_+=<>/\\", b"\"'()[]{}", bytes(range(128, 256))]
+    sizes = [len(w) for w in words] or [0]
+    mean = sum(sizes) / len(sizes)
+    pairs = list(zip(words, words[1:]))
+    return [
+        math.log1p(len(data)), math.log1p(len(words)), *map(share, sets), mean, math.sqrt(sum((x - mean) ** 2 for x in sizes) / len(sizes)),
+        sum(x <= 2 for x in sizes) / len(sizes), sum(x >= 12 for x in sizes) / len(sizes), len(set(words)) / n, len(set(words)) / n**0.8, max((words.count(w) for w in set(words)), default=0) / n,
+        sum(a == b for a, b in pairs) / n, len(set(pairs)) / n, sum(w.isupper() for w in words) / n, sum(w.islower() for w in words) / n, sum(w.isalpha() for w in words) / n,
+        math.log1p(len(lines)), math.log1p(len(words) / m), len(set(lines)) / m, sum(x.endswith((".", "!", "?")) for x in lines) / m, sum(x[0] in "|-*#" for x in lines) / m, sum(x[0].isupper() for x in lines) / m,
+    ]
+
+
+def plain_features(text, lexicon):
+    if not text:
+        return [0.0] * toxicity.WIDTH
+    word = re.compile(rb"[0-9a-z\x80-\xff]+")
+
+    def split(t):
+        return word.findall(re.sub(rb"[A-Z]", lambda m: m[0].lower(), t.encode()))
+
+    def weigh(w):
+        return max([lexicon.get(w, 0.0)] + [lexicon.get(w[:k] + b"*", 0.0) for k in (4, 5, 6, 7, 8) if len(w) >= k])
+
+    words = split(text.lower())
+    w, n, raw = [weigh(x) for x in words], max(1, len(words)), text.split()
+    bad = [i for i, x in enumerate(w) if x >= 1.5]
+    you = [i for i, x in enumerate(words) if x in toxicity.SECOND_PERSON]
+    near = sum(any(abs(i - j) <= 5 for j in you) for i in bad)
+    odd = [x for x in raw if re.search(r"[013457@$!]", x) and any(c.isalpha() for c in x)]
+    hidden = sum(weigh(p) >= 1.5 for x in odd for p in split(x.lower().rstrip("!").translate(toxicity.LEET)))
+    top = sorted(w, reverse=True)
+    kinds = len({words[i] for i in bad})
+    return [
+        len(bad) / n, sum(x >= 2.5 for x in w) / n, sum(x >= 3.5 for x in w) / n, sum(x >= 4.5 for x in w) / n, sum(w) / n, sum(w) / n**0.5, math.log1p(len(bad)), kinds / n, math.log1p(kinds),
+        *(sum(top[:k]) / min(k, len(top)) if top else 0.0 for k in (1, 3, 8)), near / n, near / max(1, len(bad)), len(you) / n, sum(x.isupper() for x in raw) / max(1, len(raw)),
+        sum(c.isupper() for c in text) / len(text), text.count("!") / n, text.count("?") / n, len(odd) / max(1, len(raw)), hidden / n, math.log1p(n),
+    ]
+
+
+def test_scores_by_plain_code(spark, texts):
+    """Statistics, features, tree walk and calibration of some texts, worked out step by step, give the queries' scores."""
+    docs, labels = (spark.read.parquet(f"{TESTDATA}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    none = F.lit(False)
+    some = {d: t for d, t in texts.items() if d % 5 == 0} | {-1: None, -2: "", -3: "YOU m0ron!!! you are a $tupid\n\n|x|", -4: "é" * 50}
+    rows = spark.createDataFrame(list(some.items()), "doc_id long, text string")
+    forest, model = quality.train(docs, labels, none), toxicity.train(docs, labels, none)
+    assert len(model.lexicon) > 5
+    for r in quality.score(rows, forest).collect():
+        x = plain_statistics(some[r["doc_id"]])
+        assert quality.statistics(some[r["doc_id"]]) == pytest.approx(x, abs=1e-12)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-plain_walk(forest, quality.statistics(some[r["doc_id"]])))), abs=1e-12)
+    for r in toxicity.score(rows, model).collect():
+        x = plain_features(some[r["doc_id"]], model.lexicon)
+        assert toxicity.features(some[r["doc_id"]], model.lexicon, {}) == pytest.approx(x, abs=1e-12)
+        p = 1 / (1 + math.exp(-plain_walk(model.forest, toxicity.features(some[r["doc_id"]], model.lexicon, {}))))
+        assert r["score"] == pytest.approx(min(1, max(0, 0.99 * np.interp(p, model.calibration.x, model.calibration.y) + 0.01 * p)), abs=1e-12)
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    """Rows of one id, alike or not, don't pass the bound; nor do ids."""
+    from tidemark.llm.common import Scratch, hashed_sample
+
+    docs = spark.createDataFrame([(i % 50, f"text {i % 200}") for i in range(2000)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    with Scratch(spark) as scratch:
+        whole = quality.labelled_sample(docs, labels, "quality", F.lit(False), 1000, scratch)
+        assert whole.count() == 200 and whole.groupBy("doc_id", "text").count().where("count > 1").count() == 0
+        few = quality.labelled_sample(docs, labels, "quality", F.lit(False), 20, scratch)
+        assert few.count() == 20 and few.select("doc_id").distinct().count() <= 20
+    ids = spark.range(5000).withColumn("x", F.col("id") % 7)
+    least = [r["id"] for r in ids.orderBy(F.xxhash64("id")).limit(100).collect()]
+    assert [r["id"] for r in hashed_sample(ids, ["id"], 100).collect()] == least and hashed_sample(ids, ["id"], 9000).count() == 5000
 
 
 def test_odd_rows(spark, odd, empty):

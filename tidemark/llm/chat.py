@@ -234,7 +234,7 @@ def parse(transcripts: DataFrame, model: Hmm, id_col: str = "conv_id", text_col:
     part_col a repeated id is a transcript each, and a null id is kept; with it, null ids form one transcript, and pieces
     of equal number stand in the order of their text. An empty table gives no rows; other columns are ignored.
 
-    Cost: one scan; with part_col, a count of pieces first. Only transcripts of several pieces go further: a row of 36
+    Cost: one scan; with part_col, pieces are written and counted first, and the result is a written table. Only transcripts of several pieces go further: a row of 36
     numbers a piece meets in the order of pieces, and the turns are gathered by number.
     """
     spark = transcripts.sparkSession
@@ -277,11 +277,12 @@ def parse(transcripts: DataFrame, model: Hmm, id_col: str = "conv_id", text_col:
             yield batch_of(out, FRAGMENTS)
 
     with Scratch(spark) as scratch:
+        rows = scratch.written(rows, "pieces")  # read three times
         pieces = rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.max(F.col("text").rlike(r"\S")).alias("said"))
         several = scratch.written(pieces.where("n > 1 AND said").select(F.col("conv_id").alias("id"), F.lit(True).alias("several")), "several")
         n = several.count()
         if not n:
-            return rows.select("conv_id", "text").mapInArrow(alone, SCHEMA)
+            return written(rows.select("conv_id", "text").mapInArrow(alone, SCHEMA), "turns")
         flagged = rows.join(small(several, n), F.col("conv_id").eqNullSafe(F.col("id")), "left").drop("id")
         one = flagged.where("several IS NULL").select("conv_id", "text").mapInArrow(alone, SCHEMA)
         many = scratch.written(flagged.where("several").select("conv_id", "part", F.monotonically_increasing_id().alias("order"), "text"), "many")

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_ROWS, Scratch, new_path, small, unused, written
+from tidemark.llm.common import Scratch, new_path, unused, written
 
 # The three base rules, in the order that breaks ties.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -44,6 +44,8 @@ SPAN = "struct<start:long,kind_order:int,kind:string,end:long>"
 LEDGER_SCHEMA = f"blob binary, spans array<{SPAN}>, rule_version string"
 #: Array elements that are folded at once: appending to an array copies it, so long ones are built from pieces.
 CHUNK = 64
+#: Unseen blobs that are few enough to be broadcast: some 15 MB.
+FEW = 100_000
 
 
 def _lit(pattern: str) -> Column:
@@ -101,7 +103,8 @@ def running(numbers: Column) -> Column:
 
 
 def scan(blobs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blobs with a column spans: what all rules find, by start, then by the order of the rules."""
+    """blobs with a column spans: what all rules find in each row's text, by start, then by the order of the rules; none in
+    an empty text, null in a null one. Rows and other columns stay; a column spans of the input's own is replaced."""
     found = [matches(text, rule, i) for i, rule in enumerate(rules)]
     return blobs.withColumn("spans", F.array_sort(F.concat(*found)))
 
@@ -130,7 +133,7 @@ def covers(spans: Column) -> Column:
 
 
 def masked(text: Column, spans: Column, mask: str = "[secret]") -> Column:
-    """The text with what its ordered spans cover replaced by the mask. Texts with many spans are cut into pieces first,
+    """The text with what its ordered spans cover replaced by the mask; null if the text is, as it is without spans. Texts with many spans are cut into pieces first,
     so that no span is looked for from the beginning of the text."""
 
     def piece(chunk: Column, until: Column) -> Column:
@@ -198,7 +201,7 @@ def find_secrets(
         if known is not None:
             blobs = scratch.written(blobs.join(known.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti"), "unseen")
             n = blobs.count()
-            todo = (versions if n <= BROADCAST_ROWS else todo).join(small(blobs, n), "blob", "left_semi").where(possible)
+            todo = (versions.join(F.broadcast(blobs), "blob", "left_semi") if n <= FEW else todo.join(blobs, "blob", "left_semi")).where(possible)
         once = todo.select("blob", "text").dropDuplicates(["blob"])
         hits = scratch.written(scan(once, "text", rules).where(F.size("spans") > 0).select("blob", "spans"), "hits")
         empty = F.array().cast(f"array<{SPAN}>")

@@ -19,6 +19,8 @@ from tidemark.operators.smoothing import fit_all
 from tidemark.plans import compare as comparing
 from tidemark.plans.engine import Engine
 from tidemark.plans.reports import Reports
+from tidemark.sources.contracts import CONTRACTS
+from tidemark.sources.seams import Seam, open_seam
 from tidemark.sources.shared import shared_path
 from tidemark.sources.tables import tables_seam
 
@@ -352,6 +354,31 @@ def _reports_at_rates(name: str, *args) -> Callable[[Engine], DataFrame]:
     return lambda e: getattr(Reports(at_rates(e)), name)(*args)
 
 
+def repository(e: Engine, mode: str) -> Seam:
+    """The engine's contracts again, read by a repository seam from tables shaped as such a repository has them: other names,
+    further columns, statistics that nobody asked for, and several files to a tablespace."""
+    s, numbered = e.seam, lambda df: df.withColumnRenamed("tablespace_id", "ts#")
+    files, other = numbered(s.datafile), lambda df: df.unionByName(df.withColumn("stat_name", F.concat(F.lit("OTHER "), "stat_name")))
+    tables = {
+        "snapshot": s.snapshot.drop("con_dbid").withColumn("snap_level", F.lit(1)),
+        "tbspc_space_usage": s.tbspc_usage.withColumn("rtime", F.lit("-")),
+        "tablespace": numbered(s.tablespace).withColumnRenamed("tablespace_name", "tsname"),
+        "datafile": files.unionByName(files.withColumn("block_size", F.expr("block_size div 2"))),
+        "osstat": other(s.osstat),
+        "sys_time_model": other(s.time_model),
+    }
+    return open_seam(mode, lambda name: next(df for table, df in tables.items() if name.endswith("_" + table)))
+
+
+def _repository(mode: str) -> dict[str, Query]:
+    """A query for each contract of a repository seam."""
+    sql = dict.fromkeys(CONTRACTS) | {"datafile": "SELECT dbid, con_dbid, tablespace_id, max(block_size) AS block_size FROM capv_datafile GROUP BY 1, 2, 3"}
+    return {
+        f"{mode}_{name}": Query(lambda e, name=name: getattr(repository(e, mode), name), exact(*CONTRACTS[name].names), sql[name] or f"capv_{name}")
+        for name in CONTRACTS
+    }
+
+
 _BOUNDS = {"value": -1, "lower_bound": -1, "upper_bound": -1}
 
 QUERIES: dict[str, Query] = {
@@ -361,6 +388,8 @@ QUERIES: dict[str, Query] = {
     "seam_datafile": Query(lambda e: e.seam.datafile, exact("dbid", "con_dbid", "tablespace_id", "block_size"), "capv_datafile"),
     "seam_osstat": Query(lambda e: e.seam.osstat, exact("dbid", "con_dbid", "instance_number", "snap_id", "stat_name", "value"), "capv_osstat"),
     "seam_time_model": Query(lambda e: e.seam.time_model, exact("dbid", "con_dbid", "instance_number", "snap_id", "stat_name", "value"), "capv_time_model"),
+    **_repository("local"),
+    **_repository("warehouse"),
     "snap_time": Query(lambda e: daily.snap_time(e.seam.snapshot), exact("dbid", "snap_id", "ended_at"), "snap_time"),
     "block_size_fallback": Query(lambda e: daily.block_sizes(e.seam.datafile), exact("dbid", "con_dbid", "tablespace_id", "file_block_size"), "file_blocks"),
     "tbspc_daily": Query(lambda e: e.tbspc_daily, _T | exact("tablespace_id", "day_dt", "used_bytes", "size_bytes", "limit_bytes", "n_samples"), "tbspc_daily"),

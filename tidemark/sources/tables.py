@@ -45,7 +45,7 @@ def _snapshots(days: DataFrame, dbid: int, snap: Column, start: Column, end: Col
 
 
 def tables_seam(spark: SparkSession, sf_dir: str) -> Seam:
-    """Read lineitem (three columns) and events (four columns) of a folder as the six contracts."""
+    """Read lineitem (four columns) and events (four columns) of a folder as the six contracts."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_shipdate", "l_quantity", "l_returnflag", "l_linestatus")
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "user_id", "event_type", "value")
 

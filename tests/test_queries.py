@@ -3,10 +3,13 @@
 import glob
 import math
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
 
+from tests.conftest import ROOT
 from tidemark.plans.queries import oracle_sql, queries
 
 
@@ -47,3 +50,10 @@ def test_smoothing_queries(spark, sf):
     assert all(r["day_dt"] > r["trained_through"] for r in future)
     points = queries()["esm_compare"](spark, sf).where("engine = 'ESM'").collect()
     assert points and {r["horizon_days"] for r in points} == {30}
+
+
+def test_entry_without_a_dependency():
+    """Where the text operators can't be imported, all other queries are there."""
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(n.startswith('op') for n in e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert out.stdout.split() == [str(len(queries())), str(len(oracle_sql())), "False"], out.stderr

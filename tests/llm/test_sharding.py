@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.llm.queries import op1_sharding
-from tidemark.llm.sharding import CapacityTree, balanced, best_fit_decreasing, shard
+from tidemark.llm.sharding import CapacityTree, balanced, best_fit_decreasing, shard, size_class
 
 
 def plain_best_fit(sizes, capacity):
@@ -105,3 +105,18 @@ def test_odd_rows(odd, empty):
     rows = shard(odd, shards=3).collect()
     assert len(rows) == 11 and len({(r["shard"], r["slot"]) for r in rows}) == 11
     assert shard(empty).count() == 0
+
+
+def test_large_sizes_round_up(spark):
+    """Groups of 32 kB and more share classes of 14 leading bits, never smaller than the group; a capacity holds."""
+    sizes = [8, 32_767, 32_768, 32_769, 65_535, 65_536, 65_541, 10**6 + 1, 2**40 + 12345]
+    rows = spark.createDataFrame([(s,) for s in sizes], "bytes long").select("bytes", size_class("bytes").alias("class")).collect()
+    assert all(r["bytes"] <= r["class"] <= r["bytes"] * (1 + 2**-13) and (r["bytes"] >= 32_768 or r["class"] == r["bytes"]) for r in rows)
+    assert len({r["class"] for r in rows if r["bytes"] in (65_536, 65_541)}) == 2 and {r["class"] % 4 for r in rows if 65_536 <= r["bytes"] < 131_072} == {0}
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, "x" * rng.randrange(30_000, 200_000) + str(i)) for i in range(60)], "doc_id long, text string")
+    fill = Counter()
+    for r in shard(docs, shards=None, capacity=600_000).collect():
+        fill[r["shard"]] += r["size"]
+    assert len(fill) >= 10 and max(fill.values()) <= 600_000 and sum(v > 300_000 for v in fill.values()) >= len(fill) - 1
+    assert set(fill) == set(range(len(fill)))

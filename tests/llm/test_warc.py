@@ -129,3 +129,11 @@ def test_hot_payloads(pages, monkeypatch):
     for hot in (2, 3):
         monkeypatch.setattr(warc, "HOT", hot)
         assert sorted(map(repr, warc.page_records(pages).collect())) == want
+
+
+def test_abort(tmp_path):
+    """An aborted write takes its archives away; others stay."""
+    for name in ("a.warc.gz", "b.warc.gz"):
+        (tmp_path / name).write_bytes(b"x")
+    warc.WarcWriter(str(tmp_path), True, 6, False).abort([None, warc.Archives(["a.warc.gz"])])
+    assert [f.name for f in tmp_path.iterdir()] == ["b.warc.gz"]

@@ -69,7 +69,7 @@ def hashed_sample(df: DataFrame, key: list[str], most: int) -> DataFrame:
     if n > most:
         share = (most + 8 * most**0.5 + 32) / n
         if share < 1:
-            df = df.where(h < F.lit(int(-(2**63) + share * 2**64)))
+            df = df.where(h < F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64))))
     return df.orderBy(h, *df.columns).limit(most)
 
 

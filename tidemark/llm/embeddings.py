@@ -133,11 +133,12 @@ class Index:
         """Distances of visitors x to the reconstructions of vectors stored in a list, by table lookups."""
         residuals = padded(x - self.centroids(np.array([at])))
         width = residuals.shape[1] // SUBSPACES
-        out = np.zeros((len(x), len(codes)), np.float32)
+        # One row a stored vector: a row of a table is gathered at once.
+        out = np.zeros((len(codes), len(x)), np.float32)
         for s in range(SUBSPACES):
-            table = distances(residuals[:, s * width : (s + 1) * width], self.books[s]).astype(np.float32)
-            out += table[:, codes[:, s]]
-        return np.sqrt(out)
+            table = distances(self.books[s], residuals[:, s * width : (s + 1) * width]).astype(np.float32)
+            out += table[codes[:, s]]
+        return np.sqrt(out, out=out).T
 
 
 @dataclass
@@ -204,8 +205,8 @@ def _compare(index: Index, stored: list[tuple], visitors: list[tuple] | None, at
         part = others[i : i + VISITORS]
         x = vectors[i : i + VISITORS] if visitors is None else units_of([v[2] for v in part], kind)
         own = np.array([v[0] for v in part])
-        meets = (np.array([v[3] for v in part]) != home)[:, None] | (own[:, None] < rep[None])
-        a, b = np.nonzero((index.lookup(x, at, codes) <= reach[None]) & meets)
+        meets = (np.array([v[3] for v in part]) != home)[None] | (own[None] < rep[:, None])
+        b, a = np.nonzero((index.lookup(x, at, codes).T <= reach[:, None]) & meets)
         cosine = np.empty(len(a))
         for k in range(0, len(a), 65536):
             cosine[k : k + 65536] = np.einsum("ij,ij->i", x[a[k : k + 65536]], vectors[b[k : k + 65536]])

@@ -184,11 +184,11 @@ def test_rows_grow_with_blocks(spark, monkeypatch, tmp_path):
     assert counts[512] <= 5 * counts[128]
 
 
-def test_bundles():
+def test_packed_blocks():
     rng = np.random.default_rng(2)
-    block = [(int(rng.integers(-(2**62), 2**62)), int(rng.integers(1, 9)), np.unique(rng.integers(0, 5000, int(rng.integers(1, 300)), dtype=np.uint64))) for _ in range(50)]
-    back = ngram_join.unbundled(ngram_join.bundled(block))
-    assert [x[:2] for x in back] == [x[:2] for x in block] and all((x[2] == y[2]).all() for x, y in zip(back, block))
+    block = ngram_join.Block.of([(int(rng.integers(-(2**62), 2**62)), int(rng.integers(1, 9)), np.unique(rng.integers(0, 5000, int(rng.integers(1, 300)), dtype=np.uint64))) for _ in range(50)])
+    back = ngram_join.Block.unpacked(block.packed())
+    assert all((getattr(back, c) == getattr(block, c)).all() for c in ("nodes", "copies", "roots")) and all((x == y).all() for x, y in zip(back.sets, block.sets))
 
 
 def test_components(spark):

@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -247,84 +248,92 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-Class = tuple[int, int, np.ndarray]  # node, copies, set
+@dataclass
+class Block:
+    """Some classes of a component: their nodes, numbers of rows, sets, and the least node of each one's local group."""
 
+    nodes: np.ndarray
+    copies: np.ndarray
+    sets: list[np.ndarray]
+    roots: np.ndarray
 
-def _verified(home: list[Class], guest: list[Class]) -> Iterator[tuple[int, int, int]]:
-    """Of one block, or of two: for each class with links there its number of linked rows and the least class of
-    its local component. A block against itself has no guest."""
-    items = home + guest
-    sets = [x[2] for x in items]
-    other = guest or home
-    inner = _overlaps([x[2] for x in home], [x[2] for x in other])
-    sizes = np.array([len(s) for s in sets], np.float64)
-    across = sizes[len(home) :] if guest else sizes
-    union = sizes[: len(home), None] + across[None, :] - inner
-    linked = inner >= SIMILARITY * union - 1e-9
-    if not guest:
+    @staticmethod
+    def of(members: list[tuple[int, int, np.ndarray]]) -> Block:
+        nodes = np.array([x[0] for x in members], np.int64)
+        return Block(nodes, np.array([x[1] for x in members], np.int64), [x[2] for x in members], nodes.copy())
+
+    def linked(self, other: Block) -> np.ndarray:
+        """Which of these have the similarity with which of the others."""
+        inner = _overlaps(self.sets, other.sets)
+        sizes, theirs = (np.array([len(s) for s in b.sets], np.float64) for b in (self, other))
+        return inner >= SIMILARITY * (sizes[:, None] + theirs[None] - inner) - 1e-9
+
+    def verify(self) -> np.ndarray:
+        """Of each class the number of linked rows inside the block; the roots follow the links."""
+        linked = self.linked(self)
         np.fill_diagonal(linked, False)
-    copies = np.array([x[1] for x in items], np.int64)
-    links = np.zeros(len(items), np.int64)
-    if guest:
-        links[: len(home)] = linked @ copies[len(home) :]
-        links[len(home) :] = linked.T @ copies[: len(home)]
-    else:
-        links = linked @ copies
-    parent = list(range(len(items)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    shift = len(home) if guest else 0
-    for i in range(len(home)):
-        for j in np.flatnonzero(linked[i]):
-            x, y = find(i), find(int(j) + shift)
-            if x != y:
-                lo, hi = (x, y) if items[x][0] < items[y][0] else (y, x)
-                parent[hi] = lo
-    for i, x in enumerate(items):
-        if links[i]:
-            yield x[0], int(links[i]), items[find(i)][0]
-
-
-def bundled(block: list[Class]) -> bytes:
-    """A block in one value: its vocabulary, and each set as steps through it. Near copies have the same steps, which
-    compress well."""
-    vocabulary, places = np.unique(np.concatenate([x[2] for x in block]), return_inverse=True)
-    lengths = np.array([len(x[2]) for x in block], np.int64)
-    steps = np.diff(places, prepend=0).astype(np.int32)
-    starts = np.cumsum(lengths) - lengths
-    steps[starts] = places[starts]
-    head = np.array([[x[0] for x in block], [x[1] for x in block], lengths], np.int64)
-    data = np.array([len(block), len(vocabulary)], np.int64).tobytes() + head.tobytes() + vocabulary.tobytes() + steps.tobytes()
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
-
-
-def unbundled(bundle: bytes) -> list[Class]:
-    data = pa.decompress(bundle[8:], int.from_bytes(bundle[:8], "little"), codec="zstd", asbytes=True)
-    n, words = np.frombuffer(data, np.int64, 2)
-    nodes, copies, lengths = np.frombuffer(data, np.int64, 3 * n, 16).reshape(3, n)
-    vocabulary = np.frombuffer(data, np.uint64, words, 16 + 24 * n)
-    steps = np.frombuffer(data, np.int32, -1, 16 + 24 * n + 8 * words)
-    return [(int(a), int(c), vocabulary[np.cumsum(s)]) for a, c, s in zip(nodes, copies, np.split(steps, np.cumsum(lengths)[:-1]))]
+        far = np.iinfo(np.int64).max
+        while True:
+            least = np.minimum(self.roots, np.where(linked, self.roots[None], far).min(1, initial=far))
+            if (least == self.roots).all():
+                return linked @ self.copies
+            self.roots = least
+
+    def packed(self) -> bytes:
+        """The block in one value: its vocabulary, and each set as steps through it. Near copies have the same steps, which
+        compress well."""
+        vocabulary, places = np.unique(np.concatenate(self.sets), return_inverse=True)
+        lengths = np.array([len(x) for x in self.sets], np.int64)
+        steps = np.diff(places, prepend=0).astype(np.int32)
+        starts = np.cumsum(lengths) - lengths
+        steps[starts] = places[starts]
+        head = np.stack([self.nodes, self.copies, self.roots, lengths])
+        data = np.array([len(self.sets), len(vocabulary)], np.int64).tobytes() + head.tobytes() + vocabulary.tobytes() + steps.tobytes()
+        return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+    @staticmethod
+    def unpacked(value: bytes) -> Block:
+        data = pa.decompress(value[8:], int.from_bytes(value[:8], "little"), codec="zstd", asbytes=True)
+        n, words = np.frombuffer(data, np.int64, 2)
+        nodes, copies, roots, lengths = np.frombuffer(data, np.int64, 4 * n, 16).reshape(4, n)
+        vocabulary = np.frombuffer(data, np.uint64, words, 16 + 32 * n)
+        steps = np.frombuffer(data, np.int32, -1, 16 + 32 * n + 8 * words)
+        return Block(nodes, copies, [vocabulary[np.cumsum(s)] for s in np.split(steps, np.cumsum(lengths)[:-1])], roots)
+
+
+def between(home: Block, guest: Block) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Of two blocks' classes the numbers of rows linked across, and edges that join the local groups which links join."""
+    linked = home.linked(guest)
+    i, j = np.nonzero(linked)
+    parent: dict[int, int] = {}
+
+    def find(n: int) -> int:
+        while parent.setdefault(n, n) != n:
+            n = parent[n]
+        return n
+
+    edges = []
+    for p, q in np.unique(np.stack([home.roots[i], guest.roots[j]], 1), axis=0).tolist():
+        p, q = find(p), find(q)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            edges.append((p, q))
+    return linked @ guest.copies, linked.T @ home.copies, edges
 
 
 #: Length bands: sets of similarity 0.8 or more lie in one band or in neighbouring ones.
 BAND = "cast(floor(ln(size) / ln(1 / 0.8) + 1e-9) as int)"
-LINKS = "node long, links long, root long"
 
 
-def verify(members: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, links, root: exact links among the classes of each component; links counts rows, so a class of n
-    copies counts n times. A class may have several rows; links add up and roots connect.
+def verify(members: DataFrame, texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Exact links among the classes of each component: node, links, and edges a, b that connect what links connect. links
+    counts rows, so a class of n copies counts n times; a class may have several rows, which add up.
 
     members: node, component, copies, size, key, digest; texts: key, text, from which a class takes any row of its key
     whose set has its digest. A component of at most BLOCK classes and BLOCK_SHINGLES is one block. A larger one is
     dealt to length bands and hashed blocks of about that size; each block is verified by itself where it is gathered,
-    and goes, packed into one row, to each other block of its band and the next.
+    and goes, packed into one row, to each other block of its band and the next. What two blocks find is a row of counts for
+    each of them, added up by block, and an edge for each two local groups that meet.
     """
     size = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     whole = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).select("component", size)
@@ -355,41 +364,62 @@ def verify(members: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        block: dict[int, Class] = {}
+        members: dict[int, tuple] = {}
         key: tuple | None = None
 
         def finish() -> None:
-            if len(block) > 1:
-                out.extend((None,) * 7 + x for x in _verified(list(block.values()), []))
-            if block and (key[3] > 1 or key[4] or key[5]):
-                out.append((*key, bundled(list(block.values())), None, None, None))
+            if not members:
+                return
+            block = Block.of(list(members.values()))
+            links = block.verify()
+            out.extend((None,) * 7 + x for x in zip(block.nodes.tolist(), links.tolist(), block.roots.tolist()) if x[1])
+            if key[3] > 1 or key[4] or key[5]:
+                out.append((*key, block.packed(), None, None, None))
 
         for batch in batches:
             for *at, node, copies, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if tuple(at) != key:
                     finish()
-                    key, block = tuple(at), {}
-                block[node] = node, copies, np.frombuffer(data, np.uint64)
+                    key, members = tuple(at), {}
+                members[node] = node, copies, np.frombuffer(data, np.uint64)
                 if len(out) >= 1000:
-                    yield _found(out)
+                    yield _rows(out, BLOCKS)
                     out = []
         finish()
-        yield _found(out)
+        yield _rows(out, BLOCKS)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit: tuple | None = None
         other: bytes = b""
         for batch in batches:
+            out: list[tuple] = []
             for *key, bundle in zip(*(c.to_pylist() for c in batch.columns)):
                 if tuple(key) == unit:
-                    links = list(_verified(unbundled(other), unbundled(bundle)))
-                    yield pa.record_batch([pa.array([x[i] for x in links], pa.int64()) for i in range(3)], names=["node", "links", "root"])
+                    home, guest = Block.unpacked(other), Block.unpacked(bundle)
+                    *counts, edges = between(home, guest)
+                    if edges:
+                        out.extend((int(x.nodes[0]), x.nodes.tobytes(), n.astype(np.int64).tobytes(), None, None) for x, n in zip((home, guest), counts))
+                        out.extend((None, None, None, a, b) for a, b in edges)
                 unit, other = tuple(key), bundle
+            yield _rows(out, COUNTS)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: int | None = None
+        nodes = total = np.zeros(0, np.int64)
+        for batch in batches:
+            out: list[tuple] = []
+            for first, names, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if first != block:
+                    out.extend(zip(nodes.tolist(), total.tolist()))
+                    block, nodes, total = first, np.frombuffer(names, np.int64), np.zeros(len(names) // 8, np.int64)
+                total = total + np.frombuffer(counts, np.int64)
+            yield _rows(out, LINKS)
+        yield _rows(list(zip(nodes.tolist(), total.tolist())), LINKS)
 
     texts = texts.join(placed.select("key", "digest", *places, "node", "copies"), "key").select("text", "digest", F.col("node").alias("own"), *places, "node", "copies")
     sets = texts.mapInArrow(shingled, "own long, component long, band int, block int, blocks int, above int, below int, node long, copies long, shingles binary").drop("own")
     gathered = sets.repartition("component", "band", "block").sortWithinPartitions("component", "band", "block")
-    first = scratch.written(gathered.mapInArrow(blocks, f"component long, band int, block int, blocks int, above int, below int, bundle binary, {LINKS}"), "first")
+    first = scratch.written(gathered.mapInArrow(blocks, _ddl(BLOCKS)), "first")
     # Pairs of blocks i, j of one band (up = 0), or i of the band and j of the next one (up = 1).
     units = F.expr(
         """concat(
@@ -399,14 +429,27 @@ def verify(members: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     )
     packed = first.where("bundle IS NOT NULL").select("component", "bundle", F.explode(units).alias("u")).select("component", "u.*", "bundle")
     unit = ["component", "band", "i", "j", "up"]
-    across = packed.select(*unit, "bundle").repartition(*unit).sortWithinPartitions(*unit).mapInArrow(pairs, LINKS)
-    return first.where("node IS NOT NULL").select("node", "links", "root").unionByName(across)
+    across = packed.select(*unit, "bundle").repartition(*unit).sortWithinPartitions(*unit).mapInArrow(pairs, _ddl(COUNTS))
+    across = scratch.written(across, "across")
+    own = first.where("node IS NOT NULL")
+    # A block goes by its first node.
+    sums = across.where("first IS NOT NULL").select("first", "nodes", "counts").repartition("first").sortWithinPartitions("first").mapInArrow(added, _ddl(LINKS))
+    links = own.select("node", "links").unionByName(sums.where("links > 0"))
+    edges = own.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across.where("first IS NULL").select("a", "b"))
+    return links, edges
+
+
+LINKS = {"node": pa.int64(), "links": pa.int64()}
+COUNTS = {"first": pa.int64(), "nodes": pa.binary(), "counts": pa.binary(), "a": pa.int64(), "b": pa.int64()}
+BLOCKS = {"component": pa.int64(), "band": pa.int32(), "block": pa.int32(), "blocks": pa.int32(), "above": pa.int32(), "below": pa.int32(), "bundle": pa.binary(), **LINKS, "root": pa.int64()}
+
+
+def _ddl(kinds: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{c} {'binary' if pa.types.is_binary(k) else 'int' if k == pa.int32() else 'long'}" for c, k in kinds.items())
 
 
-def _found(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), *[pa.int32()] * 5, pa.binary(), *[pa.int64()] * 3]
-    names = ["component", "band", "block", "blocks", "above", "below", "bundle", "node", "links", "root"]
-    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names=names)
+def _rows(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds.values())], names=list(kinds))
 
 
 def _signed(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -429,8 +472,8 @@ def _linked(signed: DataFrame, texts: DataFrame, least: Column, recall: float, s
     edges = scratch.written(forest_edges(classes.select("node", "size", "sig"), scratch, recall), "edges")
     found = components(edges, scratch)
     members = scratch.written(classes.drop("sig", "least").join(found, "node"), "members")
-    links = scratch.written(verify(members, texts, scratch), "links")
-    groups = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
+    links, joins = verify(members, texts, scratch)
+    groups = components(joins, scratch)
     totals = links.groupBy("node").agg(F.sum("links").alias("links")).join(groups, "node", "left")
     return scratch.written(classes.select("node", "digest", "copies", "least").join(totals, "node", "left").drop("node"), "linked")
 

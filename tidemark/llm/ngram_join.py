@@ -496,8 +496,8 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL, id_col: str = "doc_
     with Scratch(docs.sparkSession) as scratch:
         signed, texts = _signed(docs, scratch, id_col, text_col)
         found = _linked(signed.where("doc_id IS NOT NULL AND digest IS NOT NULL"), texts, F.col("doc_id"), recall, scratch)
-        of = found.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("class_id"))
-        table = found.join(of, "component", "left").select(
+        of = scratch.written(found.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("class_id")), "of")
+        table = found.join(small(of, of.count()), "component", "left").select(
             "digest", F.coalesce("class_id", "least").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
         )
         table = scratch.written(table, "table")
@@ -524,8 +524,8 @@ def one_of_each(docs: DataFrame, recall: float = RECALL) -> DataFrame:
         named = signed.where("digest IS NOT NULL")
         own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "key2")
         found = _linked(named, texts, own, recall, scratch)
-        of = found.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("stays"))
-        stays = found.join(of, "component", "left").select("digest", F.coalesce("stays", "least").alias("stays"))
+        of = scratch.written(found.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("stays")), "of")
+        stays = found.join(small(of, of.count()), "component", "left").select("digest", F.coalesce("stays", "least").alias("stays"))
         rows = named.groupBy("digest", "doc_id", "key", "key2").agg(F.count("*").alias("rows")).join(stays, "digest")
         goes = (own != F.col("stays")).alias("goes")
         marked = rows.select("doc_id", "key", "key2", goes, "rows").where("goes OR rows > 1")

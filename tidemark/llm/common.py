@@ -59,18 +59,19 @@ def unused(name: str, taken: list[str]) -> str:
 
 
 def hashed_sample(df: DataFrame, key: list[str], most: int) -> DataFrame:
-    """At most `most` rows of df: those of least hash of the key, then in the order of the columns.
+    """At most `most` rows of df: those of least hash of the key, as far as whole keys fit.
 
-    Rows are counted first and cut by their hash to a few more than are wanted, so that what is sorted and sent on
-    is bounded by `most`, not by the number of partitions.
+    Rows are counted first; the hash from which on rows are left out is found among those below a first cut, which leaves
+    a few more than are wanted. Only hashes meet in one task, and the rows stay where they are.
     """
     n = df.count()
-    h = F.xxhash64(*key)
-    if n > most:
-        share = (most + 8 * most**0.5 + 32) / n
-        if share < 1:
-            df = df.where(h < F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64))))
-    return df.orderBy(h, *df.columns).limit(most)
+    if n <= most:
+        return df
+    h, wanted = F.xxhash64(*key), most + 8 * most**0.5 + 32
+    cut = min(2**63 - 1, int(-(2**63) + min(1.0, wanted / n) * 2**64))
+    least = df.select(h.alias("h")).where(F.col("h") < cut).orderBy("h").limit(most + 1)
+    edge = least.agg(F.max("h").alias("h"), F.count("*").alias("n")).collect()[0]
+    return df.where(h < (edge["h"] if edge["n"] > most else cut))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

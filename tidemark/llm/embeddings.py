@@ -278,7 +278,7 @@ def near_duplicates(
             if fitted and r["count"] < LEAST:
                 break
             picked = hashed_sample(classes.where(F.length("vector") == r["bytes"]).select("vector"), ["vector"], sample).collect()
-            x = units_of([p["vector"] for p in picked], kind)
+            x = units_of(sorted(p["vector"] for p in picked), kind)
             fitted[r["bytes"] // width] = index, _ = Index.fit(x, max(1, int(r["count"] ** 0.5)), similarity), first
             first += index.lists
         indexes = spark.sparkContext.broadcast(Indexes(fitted))

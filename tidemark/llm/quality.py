@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, hashed_sample, shuffle_partitions, slices
+from tidemark.llm.common import Scratch, hashed_sample, slices
 from tidemark.llm.trees import Forest, fit
 
 #: Most labelled rows to learn from: those of least hash of doc_id.
@@ -79,7 +79,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, out: Column,
     )
     picked = scratch.written(hashed_sample(scratch.written(picked, "labels"), ["doc_id"], most), "ids")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")
-    return scratch.written(hashed_sample(scratch.written(rows.distinct(), "rows"), ["doc_id", "text"], most).repartition(shuffle_partitions(docs.sparkSession)), "sample")
+    return scratch.written(hashed_sample(scratch.written(rows.distinct(), "rows"), ["doc_id", "text"], most), "sample")
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,10 +3,10 @@
 Equal vectors are one class. Each class's unit vector is stored in the inverted list of its nearest coarse centroid, with
 the codes of its residual in subspaces and the residual's exact reconstruction error. Where there are more lists than a
 sample can fit centroids for, a centroid is the sum of one of a first and one of a second level. A class also visits every
-later list whose centroid is nearly as near as its own: by how much is set from synthetic neighbours at exactly the
+list whose centroid is nearly as near as its own: by how much is set from synthetic neighbours at exactly the
 threshold, in any direction and in the data's own ones, so that the target share of the worst-placed true neighbours lies
-in a visited list; either of a pair's lists is the later one, so a pair meets once. There, table lookups give the distance
-to each stored reconstruction; a pair is kept for the rerank unless distance minus reconstruction error already exceeds
+in a visited list. A pair is found if either visits the other's list; if both do, it counts in the later one. There, table
+lookups give the distance to each stored reconstruction; a pair is kept for the rerank unless distance minus reconstruction error already exceeds
 the threshold's distance, so this filter loses nothing. The rerank computes cosines in double precision.
 """
 
@@ -37,6 +37,8 @@ FITTED, LEAST = 16, 1024
 CENTROIDS, CELLS = 4096, 4_000_000
 #: Stored vectors in one unit of work, and visitors that are compared at once.
 BLOCK, VISITORS = 4096, 512
+#: More than there are numbers of lists, below or above 0.
+SPREAD = 2**32
 
 
 def unit_vectors(vectors: np.ndarray) -> np.ndarray:
@@ -115,13 +117,13 @@ class Index:
         return np.concatenate([d.argmin(1) for _, d in self.to_lists(x)]) if len(x) else np.zeros(0, int)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Own list, codes, reconstruction error and the later lists to visit of each vector."""
+        """Own list, codes, reconstruction error and the other lists to visit of each vector."""
         at, visits = [], []
         for _, d in self.to_lists(x):
             own = d.argmin(1)
             at.append(own)
             near = d <= d.min(1, keepdims=True) + self.margin
-            visits.extend(n[n > o] for n, o in zip(map(np.flatnonzero, near), own))
+            visits.extend(n[n != o] for n, o in zip(map(np.flatnonzero, near), own))
         at = np.concatenate(at) if at else np.zeros(0, int)
         residuals = padded(x - self.centroids(at))
         width = residuals.shape[1] // SUBSPACES
@@ -178,14 +180,16 @@ def neighbour_margin(sample: np.ndarray, index: Index, similarity: float, recall
 
 def _compare(index: Index, stored: list[tuple], visitors: list[tuple] | None, at: int, kind: type, similarity: float) -> Iterator[tuple[int, int, int]]:
     """For each class with links found here: its id, linked rows to count, and for the components the least id of its
-    local group. Items are (rep, copies, vector bytes, own list, codes, error); `at` is the list that stores them, and None
-    for visitors compares those stored with each other. Visitors at home here meet each stored one of a greater id only."""
+    local group. Items are (rep, copies, vector bytes, own list, codes, error, visited lists); `at` is the list that stores
+    them in the index, and None for visitors compares those stored with each other. Visitors at home here meet each stored
+    one of a greater id only; visitors of a later list those that don't visit that list themselves."""
     rep = np.array([s[0] for s in stored])
     copies = np.array([s[1] for s in stored], np.int64)
     vectors = units_of([s[2] for s in stored], kind)
     codes = np.frombuffer(b"".join(s[4] for s in stored), np.uint8).reshape(len(stored), -1)
     reach = np.sqrt(2 - 2 * similarity) + np.array([s[5] for s in stored]) + 1e-6
-    home = np.array([s[3] for s in stored])[0]
+    home = stored[0][3]
+    visited = np.unique(np.concatenate([np.array([[i, k] for k in s[6]], np.int64).reshape(-1, 2) for i, s in enumerate(stored)]) @ np.array([SPREAD, 1]))
     counts: dict[int, int] = {}
     parent: dict[int, int] = {}
 
@@ -205,12 +209,13 @@ def _compare(index: Index, stored: list[tuple], visitors: list[tuple] | None, at
         part = others[i : i + VISITORS]
         x = vectors[i : i + VISITORS] if visitors is None else units_of([v[2] for v in part], kind)
         own = np.array([v[0] for v in part])
-        meets = (np.array([v[3] for v in part]) != home)[None] | (own[None] < rep[:, None])
+        lists = np.array([v[3] for v in part], np.int64)
+        meets = (lists != home)[None] | (own[None] < rep[:, None])
         b, a = np.nonzero((index.lookup(x, at, codes).T <= reach[:, None]) & meets)
         cosine = np.empty(len(a))
         for k in range(0, len(a), 65536):
             cosine[k : k + 65536] = np.einsum("ij,ij->i", x[a[k : k + 65536]], vectors[b[k : k + 65536]])
-        keep = cosine >= similarity
+        keep = (cosine >= similarity) & ~((lists[a] > home) & np.isin(b * SPREAD + lists[a], visited))
         a, b = a[keep], b[keep]
         theirs = np.array([v[1] for v in part], np.int64)
         count(own, np.bincount(a, weights=copies[b], minlength=len(part)).astype(np.int64))
@@ -297,10 +302,10 @@ def near_duplicates(
 
         coded = scratch.written(classes.select("rep", "copies", "vector").mapInArrow(stored, "rep long, copies long, vector binary, list int, codes binary, error double, visits array<int>"), "coded")
         blocks = scratch.written(coded.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
-        home = coded.select("rep", "copies", "vector", "list", "codes", "error", F.col("list").alias("at"), F.lit(True).alias("home"))
+        home = coded.select("rep", "copies", "vector", "list", "codes", "error", "visits", F.col("list").alias("at"), F.lit(True).alias("home"))
         away = coded.select(
             "rep", "copies", "vector", "list", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"),
-            F.explode(F.concat("visits", F.array("list"))).alias("at"), F.lit(False).alias("home"),
+            F.lit(None).cast("array<int>").alias("visits"), F.explode(F.concat("visits", F.array("list"))).alias("at"), F.lit(False).alias("home"),
         )
         # A stored vector has one block of its list, a visitor all; visitors are cut into as many parts as blocks. In a list
         # of one block those at home need not visit.
@@ -308,7 +313,7 @@ def near_duplicates(
         sides = home.unionByName(away).join(small(blocks.withColumnRenamed("list", "at"), n), "at").where("home OR at <> list OR blocks > 1")
         dealt = sides.withColumn("block", F.expr("explode(if(home, array(cast(pmod(xxhash64(rep), blocks) as int)), sequence(0, blocks - 1)))"))
         dealt = dealt.withColumn("part", F.expr("explode(if(home, sequence(0, blocks - 1), array(cast(pmod(xxhash64(rep, 1), blocks) as int))))"))
-        work = dealt.select("at", "block", "part", F.expr("cast(not home as int)").alias("side"), F.expr("blocks > 1").alias("cut"), "rep", "copies", "vector", "list", "codes", "error")
+        work = dealt.select("at", "block", "part", F.expr("cast(not home as int)").alias("side"), F.expr("blocks > 1").alias("cut"), "rep", "copies", "vector", "list", "codes", "error", "visits")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out: list[tuple] = []
